@@ -7,7 +7,8 @@ from gridloom.llm.mixing import op10_temperature_mixing
 from gridloom.llm.packing import op9_best_fit_packing
 from gridloom.llm.sharding import op1_hash_tree_sharding
 from gridloom.llm.substrings import op8_repeated_passages
+from gridloom.llm.warc import op7_dictionary_warc
 
-QUERIES = {q.__name__: q for q in (op1_hash_tree_sharding, op4_jaccard_join, op8_repeated_passages, op9_best_fit_packing, op10_temperature_mixing)}
+QUERIES = {q.__name__: q for q in (op1_hash_tree_sharding, op4_jaccard_join, op7_dictionary_warc, op8_repeated_passages, op9_best_fit_packing, op10_temperature_mixing)}
 
 SQL: dict[str, str] = {}
