@@ -64,11 +64,15 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self, table: np.ndarray = BYTE) -> np.ndarray:
+        return self.spans(self.start, self.end, table)
+
+    def spans(self, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+        """Hashes of the bytes of any spans."""
         n = len(self.data)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(table[self.data] * powers(P, n), out=total[1:])
         back = powers(pow(P, -1, 2**64), n + 1)
-        return mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
 
     def texts(self) -> np.ndarray:
         """The text number of each word."""
