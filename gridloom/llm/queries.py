@@ -7,11 +7,12 @@ from gridloom.llm.jaccard import op4_jaccard_join
 from gridloom.llm.language import op3_word_crf_language
 from gridloom.llm.mixing import op10_temperature_mixing
 from gridloom.llm.packing import op9_best_fit_packing
+from gridloom.llm.quality import op2_line_crf_quality
 from gridloom.llm.sharding import op1_hash_tree_sharding
 from gridloom.llm.substrings import op8_repeated_passages
 from gridloom.llm.vectors import op5_collision_counting
 from gridloom.llm.warc import op7_dictionary_warc
 
-QUERIES = {q.__name__: q for q in (op1_hash_tree_sharding, op3_word_crf_language, op4_jaccard_join, op5_collision_counting, op6_main_text, op7_dictionary_warc, op8_repeated_passages, op9_best_fit_packing, op10_temperature_mixing)}
+QUERIES = {q.__name__: q for q in (op1_hash_tree_sharding, op2_line_crf_quality, op3_word_crf_language, op4_jaccard_join, op5_collision_counting, op6_main_text, op7_dictionary_warc, op8_repeated_passages, op9_best_fit_packing, op10_temperature_mixing)}
 
 SQL: dict[str, str] = {}
