@@ -46,14 +46,25 @@ def _bisect(good, low: float, high: float, steps: int = 60) -> float:
     return high
 
 
-def solve(tokens: list[float], budget: float, share_of_entropy: float, repeats: float) -> tuple[float, list[float]]:
+def covering(tokens: list[float], weights: list[float]) -> float:
+    """The least budget that gives every source one whole epoch."""
+    return max(x / w for x, w in zip(tokens, weights) if w > 0)
+
+
+def solve(tokens: list[float], budget: float | None, share_of_entropy: float, repeats: float) -> tuple[float, list[float]]:
     """Exponent and weights. Entropy aimed at: ``share_of_entropy`` of the way from the corpus's
     own to that of equal sources. ``repeats``: the most epochs of any source; a budget beyond
-    that many epochs of the whole corpus keeps the corpus's own shares (exponent 1)."""
+    that many epochs of the whole corpus keeps the corpus's own shares (exponent 1). Without a
+    budget, the covering one of the weights holds."""
     own, most = entropy(tempered(tokens, 1.0)), math.log(max(1, sum(x > 0 for x in tokens)))
     target = own + share_of_entropy * (most - own)
     exponent = 1.0 - _bisect(lambda s: entropy(tempered(tokens, 1.0 - s)) >= target - 1e-12, 0.0, 1.0) if most > own else 1.0
-    fits = lambda t: all(w * budget <= repeats * x * (1 + 1e-9) for w, x in zip(tempered(tokens, t), tokens))
+
+    def fits(t: float) -> bool:
+        weights = tempered(tokens, t)
+        size = covering(tokens, weights) if budget is None else budget
+        return all(w * size <= repeats * x * (1 + 1e-9) for w, x in zip(weights, tokens))
+
     if not fits(exponent):
         exponent = _bisect(fits, exponent, 1.0)
     return exponent, tempered(tokens, exponent)
@@ -64,10 +75,11 @@ def with_tokens(documents: DataFrame) -> DataFrame:
     return documents.withColumn("_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def mix(documents: DataFrame, budget: float = 1.0, share_of_entropy: float = 0.5, repeats: float = 2.0, seed: int = 17, block_tokens: int = 1 << 17, most_blocks: int = 4096, most_sources: int = 1_000_000) -> DataFrame:
+def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: float = 0.5, repeats: float = 2.0, seed: int = 17, block_tokens: int = 1 << 17, most_blocks: int = 4096, most_sources: int = 1_000_000) -> DataFrame:
     """The documents of the mixture with ``mix_epoch`` (0, 1, ...; one row per use).
 
-    ``budget`` is a multiple of the corpus's tokens. Totals by source go to the driver, one
+    ``budget`` is a multiple of the corpus's tokens; without one every source has a whole epoch and
+    small ones have more, so that no document is lost. Totals by source go to the driver, one
     number each, at most ``most_sources`` of them (more are refused). Everything else is counted by
     (source, block); a source has blocks in proportion to its tokens, up to ``most_blocks``, and
     only the one block in which its last epoch ends is ordered by document."""
@@ -82,9 +94,10 @@ def mix(documents: DataFrame, budget: float = 1.0, share_of_entropy: float = 0.5
     if not totals or not sum(tokens):
         return documents.withColumn("mix_epoch", F.lit(0))
     all_ = sum(tokens)
-    exponent, weights = solve(tokens, budget * all_, share_of_entropy, repeats)
+    _, weights = solve(tokens, None if budget is None else budget * all_, share_of_entropy, repeats)
+    size = covering(tokens, weights) * (1 + 1e-12) if budget is None else budget * all_
     plan = spark.createDataFrame(
-        [(r.source, min(most_blocks, max(1, r.t // block_tokens)), float(w * budget * all_), int(r.t)) for r, w in zip(totals, weights)],
+        [(r.source, min(most_blocks, max(1, r.t // block_tokens)), float(w * size), int(r.t)) for r, w in zip(totals, weights)],
         "_s string, _blocks int, _budget double, _total long",
     )
     same = F.col("source").eqNullSafe(F.col("_s"))
@@ -108,5 +121,5 @@ def mix(documents: DataFrame, budget: float = 1.0, share_of_entropy: float = 0.5
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per use of a document: doc_id, source, its tokens and the epoch."""
-    mixed = mix(table(spark, sf_dir, "documents"))
+    mixed = mix(table(spark, sf_dir, "documents"), budget=1.0)
     return with_tokens(mixed).select("doc_id", "source", F.col("_tokens").alias("tokens"), "mix_epoch")
