@@ -6,7 +6,7 @@ raised where needed until no source must be repeated more often than the limit.
 the budget are the sources' token budgets, realised by block permutations: a source's documents
 are dealt by hash to blocks, blocks and the documents in them come in hashed order, whole
 epochs first; the last, partial epoch ends in one block, with the document that reaches the
-budget.
+budget. Rows that agree in id and text share a hash and are used alike.
 
 Defined cases: null sources are one source of their own; a null or empty text has no tokens and
 comes with the epochs of its block; repeated rows are separate documents; an empty table gives
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.common import table
+from gridloom.llm.common import checkpoint, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,47 +75,57 @@ def with_tokens(documents: DataFrame) -> DataFrame:
     return documents.withColumn("_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: float = 0.5, repeats: float = 2.0, seed: int = 17, block_tokens: int = 1 << 17, most_blocks: int = 4096, most_sources: int = 1_000_000) -> DataFrame:
+def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: float = 0.5, repeats: float = 2.0, seed: int = 17, block_tokens: int = 1 << 17, most_blocks: int = 4096, most_sources: int = 1_000_000, broadcast_sources: int = 10_000) -> DataFrame:
     """The documents of the mixture with ``mix_epoch`` (0, 1, ...; one row per use).
 
     ``budget`` is a multiple of the corpus's tokens; without one every source has a whole epoch and
     small ones have more, so that no document is lost. Totals by source go to the driver, one
-    number each, at most ``most_sources`` of them (more are refused). Everything else is counted by
-    (source, block); a source has blocks in proportion to its tokens, up to ``most_blocks``, and
-    only the one block in which its last epoch ends is ordered by document."""
+    number each, at most ``most_sources`` of them (more are refused). The permutation is settled on
+    (source, hash, tokens) alone: sums by (source, block) give the block in which a source's last epoch
+    ends, that block's rows the hash up to which documents are in it. These few numbers a source decide
+    each row, so that texts aren't shuffled (with over ``broadcast_sources`` sources: once)."""
     spark = documents.sparkSession
     # The documents travel as one struct, so that no column of theirs can clash with ours.
-    rows = with_tokens(documents).select("doc_id", "text", "source", "_tokens", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
-    rows = rows.withColumn("_hash", F.xxhash64("doc_id", "text", F.lit(seed))).drop("text")
-    totals = rows.groupBy("source").agg(F.sum("_tokens").alias("t")).limit(most_sources + 1).collect()
+    rows = with_tokens(documents).select("source", F.xxhash64("doc_id", "text", F.lit(seed)).alias("_hash"), "_tokens", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
+    narrow = checkpoint(rows.groupBy("source", "_hash").agg(F.sum("_tokens").alias("_tokens")))
+    totals = narrow.groupBy("source").agg(F.sum("_tokens").alias("t")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
     tokens = [float(r.t) for r in totals]
     if not totals or not sum(tokens):
-        return documents.withColumn("mix_epoch", F.lit(0))
+        return documents.select(*[c for c in documents.columns if c != "mix_epoch"], F.lit(0).alias("mix_epoch"))
     all_ = sum(tokens)
     _, weights = solve(tokens, None if budget is None else budget * all_, share_of_entropy, repeats)
     size = covering(tokens, weights) * (1 + 1e-12) if budget is None else budget * all_
-    plan = spark.createDataFrame(
-        [(r.source, min(most_blocks, max(1, r.t // block_tokens)), float(w * size), int(r.t)) for r, w in zip(totals, weights)],
-        "_s string, _blocks int, _budget double, _total long",
-    )
+    few = F.broadcast if len(totals) <= broadcast_sources else lambda x: x
+    plan = []
+    for r, w in zip(totals, weights):
+        epochs = w * size / r.t if r.t else 1.0
+        full = int(epochs + 1e-9)
+        plan.append((r.source, min(most_blocks, max(1, r.t // block_tokens)), full, max(0.0, (epochs - full) * r.t)))
+    plan = spark.createDataFrame(plan, "_s string, _blocks int, _full int, _part double")
     same = F.col("source").eqNullSafe(F.col("_s"))
-    dealt = rows.join(plan, same).drop("_s").withColumn("_block", F.pmod("_hash", "_blocks").cast("int"))
-    order = F.xxhash64(F.col("_block"), F.lit(seed + 1))
-    blocks = dealt.groupBy("source", "_block").agg(F.sum("_tokens").alias("_n"), F.first("_budget").alias("_budget"), F.first("_total").alias("_total"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy(order, "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = (
-        blocks.withColumn("_full", F.when(F.col("_total") > 0, F.floor(F.col("_budget") / F.col("_total"))).otherwise(1).cast("int"))
-        .withColumn("_rest", F.col("_budget") - F.col("_full") * F.col("_total") - before)
-        .select(F.col("source").alias("_s"), F.col("_block").alias("_b"), F.col("_full"), F.col("_rest"), F.col("_n"))
+    block = F.pmod("_hash", "_blocks").cast("int")
+    order = F.xxhash64(block, F.lit(seed + 1))
+    dealt = narrow.join(few(plan), same).select("source", "_hash", "_tokens", "_part", order.alias("_order"), block.alias("_block"))
+    blocks = dealt.groupBy("source", "_order", "_block").agg(F.sum("_tokens").alias("_n"), F.first("_part").alias("_part"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_order", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = (
+        blocks.withColumn("_rest", F.col("_part") - before).where("_rest > 0")
+        .groupBy("source").agg(F.max(F.struct("_order", "_block", "_rest", "_n")).alias("e"))
+        .select(F.col("source").alias("_s"), F.col("e._order").alias("_eo"), F.col("e._block").alias("_eb"), F.col("e._rest").alias("_rest"), F.col("e._n").alias("_en"))
     )
-    at = dealt.drop("_blocks", "_budget", "_total").join(blocks, same & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
-    whole = at.where("_rest <= 0 OR _rest >= _n").withColumn("_uses", F.col("_full") + F.when(F.col("_rest") > 0, 1).otherwise(0))
-    edge = at.where("_rest > 0 AND _rest < _n")
-    running = F.sum("_tokens").over(W.partitionBy("source", "_block").orderBy("_hash", "doc_id").rowsBetween(W.unboundedPreceding, -1))
-    edge = edge.withColumn("_uses", F.col("_full") + F.when(F.coalesce(running, F.lit(0)) < F.col("_rest"), 1).otherwise(0))
-    used = whole.unionByName(edge).where("_uses > 0")
+    last = checkpoint(last)
+    inside = dealt.join(few(last), same & (F.col("_block") == F.col("_eb")))
+    running = F.coalesce(F.sum("_tokens").over(W.partitionBy("source").orderBy("_hash").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = inside.withColumn("_ahead", running).where(F.col("_ahead") < F.col("_rest")).groupBy("source").agg(F.max("_hash").alias("_cut")).select(F.col("source").alias("_s"), "_cut")
+    ends = plan.alias("p").join(last.select(F.col("_s").alias("_s2"), "_eo", "_eb"), F.col("p._s").eqNullSafe(F.col("_s2")), "left").drop("_s2")
+    ends = ends.join(cut.select(F.col("_s").alias("_s3"), "_cut"), F.col("p._s").eqNullSafe(F.col("_s3")), "left").select("_s", "_blocks", "_full", "_eo", "_eb", "_cut")
+    ends = checkpoint(ends)
+    joined = rows.join(few(ends), same).withColumn("_block", block).withColumn("_order", order)
+    sooner = (F.col("_order") < F.col("_eo")) | ((F.col("_order") == F.col("_eo")) & (F.col("_block") < F.col("_eb")))
+    here = (F.col("_block") == F.col("_eb")) & (F.col("_hash") <= F.col("_cut"))
+    used = joined.withColumn("_uses", F.col("_full") + F.when(sooner | here, 1).otherwise(0)).where("_uses > 0")
     return used.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_uses") - 1))).select(*[F.col("_doc")[c].alias(c) for c in documents.columns if c != "mix_epoch"], "mix_epoch")
 
 
