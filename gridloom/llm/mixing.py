@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -70,9 +70,9 @@ def solve(tokens: list[float], budget: float | None, share_of_entropy: float, re
     return exponent, tempered(tokens, exponent)
 
 
-def with_tokens(documents: DataFrame) -> DataFrame:
+def tokens() -> Column:
     """Words of the text, as a native measure of tokens."""
-    return documents.withColumn("_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: float = 0.5, repeats: float = 2.0, seed: int = 17, block_tokens: int = 1 << 17, most_blocks: int = 4096, most_sources: int = 1_000_000, broadcast_sources: int = 10_000) -> DataFrame:
@@ -86,23 +86,25 @@ def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: flo
     each row, so that texts aren't shuffled (with over ``broadcast_sources`` sources: once)."""
     spark = documents.sparkSession
     # The documents travel as one struct, so that no column of theirs can clash with ours.
-    rows = with_tokens(documents).select("source", F.xxhash64("doc_id", "text", F.lit(seed)).alias("_hash"), "_tokens", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
+    rows = documents.select("source", F.xxhash64("doc_id", "text", F.lit(seed)).alias("_hash"), tokens().alias("_tokens"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
     narrow = checkpoint(rows.groupBy("source", "_hash").agg(F.sum("_tokens").alias("_tokens")))
     totals = narrow.groupBy("source").agg(F.sum("_tokens").alias("t")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
-    tokens = [float(r.t) for r in totals]
-    if not totals or not sum(tokens):
+    sizes = [float(r.t) for r in totals]
+    if not totals or not sum(sizes):
         return documents.select(*[c for c in documents.columns if c != "mix_epoch"], F.lit(0).alias("mix_epoch"))
-    all_ = sum(tokens)
-    _, weights = solve(tokens, None if budget is None else budget * all_, share_of_entropy, repeats)
-    size = covering(tokens, weights) * (1 + 1e-12) if budget is None else budget * all_
+    all_ = sum(sizes)
+    _, weights = solve(sizes, None if budget is None else budget * all_, share_of_entropy, repeats)
+    size = covering(sizes, weights) * (1 + 1e-12) if budget is None else budget * all_
     few = F.broadcast if len(totals) <= broadcast_sources else lambda x: x
     plan = []
     for r, w in zip(totals, weights):
         epochs = w * size / r.t if r.t else 1.0
         full = int(epochs + 1e-9)
-        plan.append((r.source, min(most_blocks, max(1, r.t // block_tokens)), full, max(0.0, (epochs - full) * r.t)))
+        part = (epochs - full) * r.t
+        # Less than half a token is rounding, not a further epoch.
+        plan.append((r.source, min(most_blocks, max(1, r.t // block_tokens)), full, part if part >= 0.5 else 0.0))
     plan = spark.createDataFrame(plan, "_s string, _blocks int, _full int, _part double")
     same = F.col("source").eqNullSafe(F.col("_s"))
     block = F.pmod("_hash", "_blocks").cast("int")
@@ -132,4 +134,4 @@ def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: flo
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per use of a document: doc_id, source, its tokens and the epoch."""
     mixed = mix(table(spark, sf_dir, "documents"), budget=1.0)
-    return with_tokens(mixed).select("doc_id", "source", F.col("_tokens").alias("tokens"), "mix_epoch")
+    return mixed.select("doc_id", "source", tokens().alias("tokens"), "mix_epoch")

@@ -51,7 +51,7 @@ class Lines:
         cut = np.flatnonzero(data == 0x0A)
         begin = np.unique(np.concatenate([words.offsets[:-1], cut + 1]))
         begin = begin[begin < len(data)]
-        end = np.minimum(np.append(begin[1:], len(data)), len(data))
+        end = np.append(begin[1:], len(data)) if len(begin) else begin
         end = np.where((end > begin) & (data[end - 1] == 0x0A), end - 1, end) if len(begin) else end
         a, b = np.searchsorted(words.start, begin), np.searchsorted(words.start, end)
         some = b > a
@@ -210,7 +210,7 @@ def measures(words: Words, field: Field | None, share: float):
 
 
 def judge(documents: DataFrame, field: Field | None, share: float = 0.5) -> DataFrame:
-    """doc_id and the measures of every row; one pass, no shuffle. ``row`` columns, if any, stay."""
+    """The measures of every row beside its columns other than ``text``; one pass, no shuffle."""
     names = [c.split()[0] for c in COUNTS.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
     kept = [c for c in documents.columns if c != "text"]
