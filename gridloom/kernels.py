@@ -146,11 +146,11 @@ class TimeSeriesAdapter(Adapter):
         return pd.DataFrame(out if isinstance(out, dict) and any(np.ndim(x) for x in out.values()) else [out])
 
 
-def trimmed(result: np.ndarray, part: Loaded, axes_kept: list[int]) -> np.ndarray:
-    """The owned part of an array result."""
+def trimmed(result: np.ndarray, part, axes_kept: list[int]) -> np.ndarray:
+    """The part of an array result that a partition owns."""
     result = np.asarray(result)
     owned = tuple(part.trim[i][1] - part.trim[i][0] for i in axes_kept)
-    whole = tuple(part.data.shape[i] for i in axes_kept)
+    whole = tuple(part.read[i][1] - part.read[i][0] for i in axes_kept)
     if result.shape == owned:
         return result
     if result.shape == whole:

@@ -79,7 +79,13 @@ def global_labels(got, p, tile: int, axes: tuple[str, ...]) -> tuple[np.ndarray,
     out = np.where(labels != 0, labels.astype(np.uint64) + base, np.uint64(0))
     local = objects["label_id"].astype("int64")
     objects["local_label_id"], objects["label_id"] = local, local + int(base)
-    objects["tile_id"], objects["partition_id"] = tile, p.key
+    objects["tile_id"] = np.full(len(objects), tile, np.int64)
+    objects["partition_id"] = pd.Series([p.key] * len(objects), dtype="string")
+    for c in objects.columns:  # one type a column, whether or not the partition has objects
+        if c == "voxel_count" or c.startswith("bbox_"):
+            objects[c] = objects[c].astype("int64")
+        elif c.startswith("centroid_"):
+            objects[c] = objects[c].astype("float64")
     for i, (lo, _) in enumerate(p.read):
         for c in (f"centroid_{i}", f"bbox_min_{i}", f"bbox_max_{i}"):
             if c in objects:

@@ -177,7 +177,7 @@ class ZarrSource(Source):
 def load_cells(root: str, axes: tuple[str, ...], dtype):
     def read(spark: SparkSession, bounds) -> DataFrame:
         spark.dataSource.register(ZarrDataSource)
-        schema = ", ".join(f"d{i} bigint" for i in range(len(axes))) + f", value {spark_type(dtype)}"
+        schema = ", ".join([*(f"d{i} bigint" for i in range(len(axes))), f"value {spark_type(dtype)}"])
         df = spark.read.format(FORMAT).option("path", root).option("bounds", json.dumps([list(b) for b in bounds])).option("cells", schema).load()
         return df.toDF(*axes, "value")
 
