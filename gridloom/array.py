@@ -5,6 +5,7 @@ expression works on metadata alone."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -76,10 +77,11 @@ def contiguous(s: slice, n: int) -> tuple[int, int]:
 class Selection:
     """One array of a source: metadata and a way to read ranges of it as cells."""
 
-    def __init__(self, meta: ArrayMeta, read, times=None):
+    def __init__(self, meta: ArrayMeta, read, times=None, block=None):
         """``read(spark, bounds)`` gives cells with the original coordinates, restricted to the
-        bounds; ``times(spark)`` gives (index, t) of irregular timestamps."""
-        self.metadata, self._read, self._times = meta, read, times
+        bounds; ``times(spark)`` gives (index, t) of irregular timestamps; ``block(bounds)``, where
+        there is one, reads a dense block in a task."""
+        self.metadata, self._read, self._times, self._block = meta, read, times, block
 
     def isel(self, **slices: slice) -> Selection:
         m = self.metadata
@@ -95,7 +97,7 @@ class Selection:
                 if a == "time" and m.rate and start_time is not None:
                     start_time += start / m.rate
         chunks = None if m.chunks is None else tuple(min(c, n) for c, n in zip(m.chunks, shape))
-        return Selection(replace(m, bounds=tuple(bounds), shape=tuple(shape), chunks=chunks, starting_time=start_time), self._read, self._times)
+        return Selection(replace(m, bounds=tuple(bounds), shape=tuple(shape), chunks=chunks, starting_time=start_time), self._read, self._times, self._block)
 
     def cells(self, spark: SparkSession) -> DataFrame:
         """Rows (axes..., value) with coordinates from 0; bounds are given to the reader, which
@@ -247,12 +249,60 @@ class NamedArray(NDArrayOperatorsMixin):
         m = self.metadata
         return Lowering(self.selection.cells(self._session()), expr.Input(m.shape, m.axes, np.dtype(m.dtype))).run(self.expression)
 
-    def compute(self, memory_limit: int | str = "1 GiB"):
-        """The result as a NumPy array or scalar; refused where it wouldn't fit the driver."""
+    def _tiles(self, most: int = 64 << 20) -> list[tuple[tuple[int, int], ...]] | None:
+        """Ranges of the selection that can be evaluated each on its own: reduced axes whole, others by
+        native chunk or less. None where a reduction spans everything or a tile would be too large."""
+        m, e = self.metadata, self.expression
+        kept = [a for a in m.axes if a not in _reduced(e, True)]
+        if self.selection._block is None or not e.axes or any(not r.axes and r.name not in ("sum", "mean", "min", "max") for r in _reductions(e)):
+            return None
+        if not kept or any(a not in e.axes for a in kept):
+            return None
+        size = {a: min(n, c) if a in kept else n for a, n, c in zip(m.axes, m.shape, m.chunks or m.shape)}
+        bytes_ = lambda: math.prod(size.values()) * max(4, np.dtype(m.dtype).itemsize)
+        while bytes_() > most and max(size[a] for a in kept) > 1:
+            a = max(kept, key=size.get)
+            size[a] = -(-size[a] // 2)
+        if bytes_() > most:
+            return None
+        return list(itertools.product(*[[(lo, min(n, lo + size[a])) for lo in range(0, n, size[a])] for a, n in zip(m.axes, m.shape)]))
+
+    def _by_blocks(self, tiles) -> np.ndarray:
+        """One task a tile: read its block, evaluate the expression in NumPy, return the bytes. No shuffle."""
+        import pyarrow as pa
+
+        spark, m, e, read = self._session(), self.metadata, self.expression, self.selection._block
+        scalars = {}
+        for s in expr.staged(e):
+            row = Lowering(self.selection.cells(spark), expr.Input(m.shape, m.axes, np.dtype(m.dtype))).run(s).first()
+            scalars[expr.identity(s)] = s.dtype.type(row["value"])
+
+        def run(batches):
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    block = read([(lo + a, lo + z) for (lo, _), (a, z) in zip(m.bounds, tiles[i])])
+                    value = np.ascontiguousarray(expr.evaluate(e, block, m.axes, scalars), dtype=e.dtype)
+                    yield pa.RecordBatch.from_pydict({"tile": [i], "data": [value.tobytes()]})
+
+        out = np.zeros(self.shape, self.dtype)
+        for r in spark.range(0, len(tiles), 1, min(len(tiles), 4096)).mapInArrow(run, "tile long, data binary").toLocalIterator():
+            ranges = dict(zip(m.axes, tiles[r.tile]))
+            index = tuple(slice(*ranges[a]) if n > 1 or m.shape[m.axes.index(a)] == 1 else slice(0, 1) for a, n in zip(self.axes, self.shape))
+            part = out[index]
+            out[index] = np.frombuffer(r.data, self.dtype).reshape(part.shape)
+        return out
+
+    def compute(self, memory_limit: int | str = "1 GiB", engine: str | None = None):
+        """The result as a NumPy array or scalar; refused where it wouldn't fit the driver.
+
+        ``engine``: "cells" (the DataFrame plan), or "auto": dense blocks where the source has them and no
+        tile needs another's values, else cells."""
         need = self.size * (8 * (self.ndim + 1)) + self.nbytes
         budget = resolve_budget(memory_limit)
         if need > budget.task_bytes:
             raise MemoryError(f"the result takes about {need} bytes, {budget.task_bytes} are allowed; persist it instead")
+        if (engine or ENGINE) == "auto" and (tiles := self._tiles()):
+            return self._by_blocks(tiles)
         table = self.cells().toArrow()
         values = table.column("value").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0)
         if not self.axes:
@@ -287,9 +337,20 @@ class NamedArray(NDArrayOperatorsMixin):
         return plan_traces(self, labels, **how)
 
 
-def _reduced(x: expr.Expression) -> set[str]:
+#: How ``compute`` works unless told.
+ENGINE = "auto"
+
+
+def _reductions(x: expr.Expression) -> list[expr.Reduction]:
+    return [*([x] if isinstance(x, expr.Reduction) else []), *(r for c in expr.children(x) for r in _reductions(c))]
+
+
+def _reduced(x: expr.Expression, staged_apart: bool = False) -> set[str]:
+    """Axes that a reduction of the expression spans (global staged scalars apart, if asked)."""
+    if staged_apart and isinstance(x, expr.Reduction) and not x.axes:
+        return set()
     own = set(x.reduced) if isinstance(x, expr.Reduction) else set()
-    return own.union(*map(_reduced, expr.children(x))) if expr.children(x) else own
+    return own.union(*[_reduced(c, staged_apart) for c in expr.children(x)])
 
 
 def _shape(a):

@@ -354,7 +354,9 @@ def open_result(uri: str, spark: SparkSession | None = None) -> Result:
 
 def open_array(uri: str, *, component: str | None = None, axes: tuple[str, ...] | None = None, verify: bool = True, spark: SparkSession | None = None) -> NamedArray:
     """A persisted array as a source again: complete, checked, with the identity of its content."""
-    from gridloom.sources.zarr import load_cells
+    from functools import partial
+
+    from gridloom.sources.zarr import load_cells, read_region
 
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     result = open_result(uri, spark)
@@ -377,7 +379,7 @@ def open_array(uri: str, *, component: str | None = None, axes: tuple[str, ...]
     selection = record["selection"]
     timed = "time" in names and selection["axes"] and selection["shape"][selection["axes"].index("time")] == schema["shape"][names.index("time")] if "time" in selection["axes"] and "time" in names else False
     meta = ArrayMeta(SourceIdentity(result.root, None, name, result.content_identity()), f"arrays/{name}", name, tuple(schema["shape"]), names, np.dtype(schema["dtype"]), tuple(schema["chunks"]) or None, rate=selection["rate"] if timed else None, starting_time=selection["starting_time"] if timed else None, attributes={"backend": "result"})
-    return NamedArray(Selection(meta, load_cells(root, names, meta.dtype)), spark=spark)
+    return NamedArray(Selection(meta, load_cells(root, names, meta.dtype), block=partial(read_region, root)), spark=spark)
 
 
 def load(source: str, *, name: str | None = None, asset: str | None = None, version: str | None = None, storage_options: dict | None = None, spark: SparkSession | None = None) -> NamedArray:

@@ -87,9 +87,12 @@ class Source:
     def _times(self, meta: ArrayMeta):
         return None
 
+    def _block(self, meta: ArrayMeta):
+        return None
+
     def select(self, query: Query | None = None, **fields) -> Selection:
         meta = find(self.objects(), query or Query(**fields))
-        return Selection(meta, self._reader(meta), self._times(meta))
+        return Selection(meta, self._reader(meta), self._times(meta), self._block(meta))
 
     def inspect(self) -> Summary:
         return Summary(self.identity, self.capabilities, tuple(self.assets()), tuple(self.objects()))
