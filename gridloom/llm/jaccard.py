@@ -15,9 +15,9 @@ a signature. The number of cells follows the size band (power of two) of n; a do
 band's end is indexed for the next band as well.
 
 Per signature, the document that has the fewest rare tokens leads; (leader, member) pairs are
-verified exactly on the token sets. Documents that a bucket's leader didn't link are paired with
-the bucket's members in other components, and verified again, so that no link between
-components is lost while copies of one text are never expanded into all pairs.
+verified: parity sketches of the sets rule out nearly all false ones, the token sets decide the rest. Documents that aren't in their leader's component are compared, by sketches
+and in blocks, with the leader's members in other components; what passes is verified again, so that no
+link between components is lost while copies of one text are never expanded into all pairs.
 
 Defined cases: null, empty and word-less texts have an empty set and link with nothing; fewer than
 ``k`` words are one shingle; repeated rows are equal sets; rows that share a doc_id are one node;
@@ -58,19 +58,25 @@ def frequent_tokens(documents: DataFrame, k: int, floor: int, entries: int) -> t
     ``entries`` rows, orders the tokens: it steers cost, never results."""
 
     def run(batches):
-        token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        token, count, waiting, waits = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merge():
+            nonlocal token, count, waiting, waits
+            value, inverse = np.unique(np.concatenate([token, *waiting]), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([count, np.ones(waits, np.int64)]), len(value)).astype(np.int64)
+            token, waiting, waits = value, [], 0
+            if len(token) > 4 * entries:
+                count = count - np.partition(count, len(count) - entries - 1)[len(count) - entries - 1]
+                token, count = token[count > 0], count[count > 0]
+
         for batch in batches:
-            for _, words, _ in chunks(batch, "text", 1 << 22):
-                sets = [*token_sets(words, k)]
-                if not sets:
-                    continue
-                value, inverse = np.unique(np.concatenate([token, *sets]), return_inverse=True)
-                count = np.bincount(inverse, np.concatenate([count, np.ones(len(inverse) - len(token), np.int64)]), len(value)).astype(np.int64)
-                token = value
-                if len(token) > 4 * entries:
-                    less = np.partition(count, len(count) - entries - 1)[len(count) - entries - 1]
-                    count = count - less
-                    token, count = token[count > 0], count[count > 0]
+            for _, words, _ in chunks(batch, "text", 1 << 20):
+                for s in token_sets(words, k):
+                    waiting.append(s)
+                    waits += len(s)
+                    if waits >= 4 * entries:
+                        merge()
+        merge()
         if len(token) > entries:
             less = np.partition(count, len(count) - entries - 1)[len(count) - entries - 1]
             keep = count > less
@@ -119,20 +125,38 @@ def prefix_signatures(rare: np.ndarray, frequent: np.ndarray, threshold: float)
     return np.concatenate(out)
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens by hash, in a power of two of bits, twice the tokens at least. Two sets
+    differ in as many tokens as (folded to one length) their sketches do in bits, or more."""
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def sketches_allow(x: bytes, y: bytes, n: int, m: int, threshold: float) -> bool:
+    """False only if sets of n and m tokens with these sketches can't reach the threshold."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-6
+
+
 def profiles(documents: DataFrame, k: int, threshold: float, frequent: np.ndarray) -> DataFrame:
-    """One row per document: n tokens, 128-bit fingerprint of the set, signatures, priority."""
+    """One row per document: n tokens, 128-bit fingerprint of the set, signatures, sketch, priority."""
 
     def run(batches):
         for batch in batches:
             for part, words, _ in chunks(batch, "text", 1 << 20):
-                n, one, two, signatures, priority = [], [], [], [], []
+                n, one, two, signatures, sketch, priority = [], [], [], [], [], []
                 for s in token_sets(words, k):
                     n.append(len(s))
                     one.append(int(mix(s).sum(dtype=np.uint64)) if len(s) else 0)
                     two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0)
-                    if not len(s):
-                        signatures.append(np.zeros(0, np.int64))
-                        priority.append(0)
+                    sketch.append(sketch_of(s))
+                    if len(s) <= 5:  # these link with equal sets only
+                        signatures.append(b"")
+                        priority.append(len(s))
                         continue
                     if len(frequent):
                         at = np.searchsorted(frequent, s)
@@ -140,19 +164,37 @@ def profiles(documents: DataFrame, k: int, threshold: float, frequent: np.ndarra
                     else:
                         common = np.zeros(len(s), bool)
                     rare = s[~common]
-                    signatures.append(prefix_signatures(rare, s[common], threshold).view(np.int64))
+                    signatures.append(prefix_signatures(rare, s[common], threshold).tobytes())
                     # Fewest rare tokens first, then fewest tokens.
                     priority.append((len(rare) << 32) + len(s))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array(n, pa.int64()),
                         pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-                        pa.array(signatures, pa.list_(pa.int64())), pa.array(priority, pa.int64()),
+                        pa.array(signatures, pa.binary()), pa.array(sketch, pa.binary()), pa.array(priority, pa.int64()),
                     ],
-                    ["doc_id", "n", "f", "g", "signatures", "priority"],
+                    ["doc_id", "n", "f", "g", "signatures", "sketch", "priority"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f long, g long, signatures array<long>, priority long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f long, g long, signatures binary, sketch binary, priority long")
+
+
+def unpacked(index: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """(s, rep, priority): a row per signature, without those that a bitmap of signatures lacks."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                values = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("signatures")]
+                size = [len(v) for v in values]
+                s = np.concatenate(values) if values else np.zeros(0, np.uint64)
+                keep = np.ones(len(s), bool) if wanted is None else in_bitmap(wanted, s)
+                owner = np.repeat(np.arange(part.num_rows), size)[keep]
+                columns = [part.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("rep", "priority")]
+                yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), *map(pa.array, columns)], ["s", "rep", "priority"])
+
+    return index.select("rep", "priority", "signatures").mapInArrow(run, "s long, rep long, priority long")
 
 
 def sets_of(documents: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -169,17 +211,19 @@ def sets_of(documents: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     return ids.mapInArrow(run, "doc_id long, tokens binary")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, k: int, threshold: float, bits: int = 24) -> DataFrame:
-    """The pairs (a, b) whose sets have at least ``threshold`` of their union in common."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = bitmap_of(ends.select(F.xxhash64("doc_id").alias("h")), "h", bits)
-    # Documents repeat where an id does: equal ids are one node, any of its rows may link it.
-    sets = sets_of(documents, k, wanted).join(ends, "doc_id", "left_semi").distinct()
-    sets = checkpoint(sets)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+def verified(pairs: DataFrame, index: DataFrame, documents: DataFrame, k: int, threshold: float, bits: int = 24) -> DataFrame:
+    """The pairs (a, b) whose sets have at least ``threshold`` of their union in common.
+
+    Sketches rule out nearly all others before any set is fetched; the sets of the rest are computed
+    again from the texts of those documents."""
     num = round(threshold * 100)
 
-    def run(batches):
+    def likely(batches):
+        for batch in batches:
+            keep = [sketches_allow(x.as_py(), y.as_py(), n & 0xFFFFFFFF, m & 0xFFFFFFFF, threshold) for x, y, n, m in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def check(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
@@ -189,38 +233,99 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, threshold: float, b
                 keep.append(100 * shared >= num * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    short = index.select("rep", "sketch", "priority")
+    sketched = pairs.join(short.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("priority").alias("n")), "a").join(short.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("priority").alias("m")), "b")
+    likely_pairs = checkpoint(sketched.select("a", "b", "x", "y", "n", "m").mapInArrow(likely, "a long, b long").distinct())
+    wanted = bitmap_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(F.xxhash64("doc_id").alias("h")), "h", bits)
+    sets = checkpoint(sets_of(documents, k, wanted))
+    both = likely_pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def join_components(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17) -> DataFrame:
+def fold(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches (uint8) at half their width, as often as needed."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def cross_pairs(members: DataFrame, group: DataFrame, index: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """Pairs (a, b) that meet under one leader, stand in different components, and that sketches allow.
+
+    Whatever shares a bucket shares its leader. Members outside their leader's component are queries
+    against all its members, in tasks of ``block`` of each; only pairs that pass leave a task. A
+    leader whose members are all in its component makes no work."""
+    named = members.join(group.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
+    named = named.join(group.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left")
+    named = checkpoint(named.select("lead", "rep", F.coalesce("c", "rep").alias("c"), (F.coalesce("c", "rep") != F.coalesce("lead_c", "lead")).alias("odd")))
+    loads = named.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("odd").cast("long")).alias("q")).where("q > 0 AND n > 1")
+    loads = loads.select("lead", F.ceil(F.col("q") / block).cast("int").alias("qs"), F.ceil(F.col("n") / block).cast("int").alias("ds"))
+    rows = named.join(loads, "lead").join(index.select("rep", "sketch", "priority"), "rep")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), "qs").cast("int")).withColumn("j", F.pmod(F.xxhash64("rep"), "ds").cast("int"))
+
+    def role(i, j, query: bool):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(query).alias("query"))
+
+    as_data = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda i: role(i, F.col("j"), False))
+    as_query = F.transform(F.sequence(F.lit(0), F.col("ds") - 1), lambda j: role(F.col("i"), j, True))
+    tasks = rows.select("lead", "rep", "c", "sketch", "priority", F.explode(F.concat(as_data, F.when(F.col("odd"), as_query).otherwise(F.array().cast(ROLES)))).alias("r")).select("lead", "rep", "c", "sketch", "priority", "r.*")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    slack = (1 - threshold) / (1 + threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        query = table.column("query").to_numpy(zero_copy_only=False)
+        rep, c = table.column("rep").to_numpy(), table.column("c").to_numpy()
+        n = (table.column("priority").to_numpy() & 0xFFFFFFFF).astype(np.float64)
+        raw = table.column("sketch").to_pylist()
+        width = np.array([len(x) for x in raw])
+        found = []
+        for w in np.unique(width[query]):
+            qs = np.flatnonzero(query & (width == w))
+            ours = np.frombuffer(b"".join(raw[i] for i in qs), np.uint8).reshape(len(qs), w)
+            for v in (w // 2, w, 2 * w):
+                ds = np.flatnonzero(~query & (width == v))
+                if not len(ds):
+                    continue
+                theirs = np.frombuffer(b"".join(raw[i] for i in ds), np.uint8).reshape(len(ds), v)
+                u = min(v, w)
+                x, y = np.ascontiguousarray(fold(ours, u)).view(np.uint64), np.ascontiguousarray(fold(theirs, u)).view(np.uint64)
+                for k, row in zip(qs, x):
+                    apart = np.bitwise_count(y ^ row).sum(axis=1)
+                    good = (apart <= slack * (n[ds] + n[k]) + 1e-6) & (c[ds] != c[k]) & (np.minimum(n[ds], n[k]) >= (threshold - 1e-9) * np.maximum(n[ds], n[k]))
+                    found += [(min(int(rep[k]), int(r)), max(int(rep[k]), int(r))) for r in rep[ds[good]]]
+        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
+
+    return tasks.groupBy("lead", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+ROLES = "array<struct<i:int,j:int,query:boolean>>"
+
+
+def join_components(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, bits: int = 27) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     frequent, _ = frequent_tokens(documents, k, floor, entries)
     made = checkpoint(profiles(documents, k, threshold, frequent))
-    classes = made.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"), F.first("priority").alias("priority"))
-    indexed = classes.where("rep IS NOT NULL AND n > 5").select(F.explode("signatures").alias("s"), "rep", F.col("n").cast("int").alias("n"), "priority")
-    leaders = indexed.groupBy("s").agg(F.min_by("rep", F.col("priority")).alias("lead"), F.min_by("n", F.col("priority")).alias("lead_n"), F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("s", "s2")
-    # Signatures of one document alone go here; what stays is written once and read by both rounds.
-    buckets = checkpoint(indexed.join(leaders, F.col("s") == F.col("s2")).select("s", "rep", "n", "lead", "lead_n", "m"))
-    fits = lambda x, y: F.least(x, y) >= F.lit(threshold - 1e-9) * F.greatest(x, y)
-    first = buckets.where((F.col("rep") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    first = checkpoint(first)
-    links = checkpoint(verified(first, documents, k, threshold))
-    group = components(links)
-    # Second round: members that their leader's component doesn't hold, against the rest of their bucket.
-    named = buckets.where("m > 2").select("s", "rep", "n", "lead").join(group.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    named = named.join(group.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left")
-    named = named.select("s", "rep", "n", "lead", F.coalesce("c", "rep").alias("c"), F.coalesce("lead_c", "lead").alias("lead_c"))
-    odd = checkpoint(named.where("c <> lead_c"))
-    again = named.join(odd.select("s").distinct(), "s", "left_semi")
-    # Members in one component differ from an odd one as a whole: all of them are compared with it.
-    second = (
-        odd.select("s", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-        .join(again.where("rep <> lead").select("s", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc")), "s")
-        .where("ac <> bc").where(fits(F.col("an"), F.col("bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    more = verified(checkpoint(second.join(first, ["a", "b"], "left_anti")), documents, k, threshold)
+    classes = checkpoint(made.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")))
+    named = classes.where("rep IS NOT NULL AND n > 5").select(F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), "rep")
+    first_row = (F.col("n") == F.col("n2")) & (F.col("f") == F.col("f2")) & (F.col("g") == F.col("g2")) & (F.col("doc_id") == F.col("rep"))
+    index = checkpoint(made.join(named, first_row).select("rep", "priority", "signatures", "sketch"))
+    # Most signatures are one document's alone: only their counts are shuffled, a bitmap takes them out,
+    # and what it lets through by chance goes with the exact counts below.
+    shared = unpacked(index, None).groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = checkpoint(unpacked(index, bitmap_of(shared, "s", bits)))
+    leaders = rows.groupBy("s").agg(F.min_by("rep", "priority").alias("lead"), F.min("priority").alias("lead_priority"), F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("s", "s2")
+    size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    buckets = rows.join(leaders, F.col("s") == F.col("s2")).where("rep <> lead")
+    members = checkpoint(buckets.select("lead", "rep", size("priority").alias("n"), size("lead_priority").alias("lead_n")).distinct())
+    fits = F.least("n", "lead_n") >= F.lit(threshold - 1e-9) * F.greatest("n", "lead_n")
+    first = checkpoint(members.where(fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
+    links = checkpoint(verified(first, index, documents, k, threshold))
+    second = checkpoint(cross_pairs(members.select("lead", "rep"), components(links), index, threshold).join(first, ["a", "b"], "left_anti"))
+    more = verified(second, index, documents, k, threshold)
     group = components(links.unionByName(more))
-    reps = classes.select("n", "f", "g", "rep").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), F.coalesce("component", "rep").alias("component_id"))
+    reps = classes.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), F.coalesce("component", "rep").alias("component_id"))
     out = made.select("doc_id", "n", "f", "g").join(reps, (F.col("n") == F.col("n2")) & (F.col("f") == F.col("f2")) & (F.col("g") == F.col("g2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -232,7 +337,7 @@ def keep_one(documents: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFr
     group = join_components(documents, k, threshold)
     lead = group.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     packed = documents.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    kept = packed.join(lead, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.first("doc").alias("doc")).select("doc")
+    kept = packed.join(lead, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).select("doc")
     rest = packed.where("doc_id IS NULL").select("doc")
     return kept.union(rest).select(*[F.col("doc")[c].alias(c) for c in names])
 
