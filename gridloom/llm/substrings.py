@@ -3,9 +3,11 @@
 1. Anchors. Each window of ``window`` words has a minimiser, its ``anchor``-word sequence of the
    least hash; equal windows have equal ones. Their counts over the corpus leave those that
    occur twice or more, kept as a bitmap of fixed size.
-2. Confirmation. Only windows whose minimiser recurs yield a row (128-bit hash, document,
-   position); those whose hash occurs twice or more are recurring. Consecutive ones in a
-   document are a passage. A crowded bitmap lets more windows through; none is lost.
+2. Confirmation. Consecutive windows with one recurring minimiser are a run, and yield one row (128-bit
+   hash, document, position). A run that occurs elsewhere as a whole settles its windows; where some run
+   of a minimiser doesn't, windows of that minimiser yield rows of their own, and those whose hash
+   occurs twice or more are recurring. Overlapping recurring windows of a document are a passage.
+   A crowded bitmap lets more rows through; none is lost.
 3. Automata. The documents, joined with their passages, are streamed shard by shard: the
    distinct passages of a shard are compiled to an Aho-Corasick automaton over word numbers, and
    the shard's documents run through it to find every occurrence of every passage. All words
@@ -23,10 +25,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bitmap_of, checkpoint, in_bitmap, table
-from gridloom.llm.textkit import Words, chunks, mix, windows
+from gridloom.llm.textkit import Words, chunks, mix, stretches, windows
 
 
 def _sliding(x: np.ndarray, k: int, f) -> np.ndarray:
@@ -52,63 +55,142 @@ def _minimisers(words: Words, window: int, anchor: int):
     return h, least, grams, whole
 
 
+def _chosen(least: np.ndarray, grams: np.ndarray, whole: np.ndarray, reach: int) -> np.ndarray:
+    """Whether the anchor at each position is the minimiser of some window."""
+    cover = np.concatenate([np.zeros(reach, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(reach, np.uint64)])
+    return _sliding(cover, reach + 1, np.maximum)[: len(grams)] == grams
+
+
 def anchor_counts(documents: DataFrame, window: int, anchor: int) -> DataFrame:
     """Minimisers (as longs) that have two occurrences or more in the corpus."""
 
     def run(batches):
         for batch in batches:
-            for _, words, _ in chunks(batch, "text", 1 << 22):
+            for _, words, _ in chunks(batch, "text", 1 << 20):
                 _, least, grams, whole = _minimisers(words, window, anchor)
                 if not whole.any():
                     continue
-                reach = window - anchor
-                cover = np.concatenate([np.zeros(reach, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(reach, np.uint64)])
-                chosen = grams[_sliding(cover, reach + 1, np.maximum)[: len(grams)] == grams]
-                value, times = np.unique(chosen, return_counts=True)
+                value, times = np.unique(grams[_chosen(least, grams, whole, window - anchor)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["h", "n"])
 
     return documents.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def recurring(documents: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """Passages: (key, start, stop) in words, maximal runs covered by recurring windows."""
-    bitmap = bitmap_of(anchor_counts(documents, window, anchor), "h", bits)
+SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Runs:
+    """Runs of consecutive windows of a chunk that have one minimiser, where it is in the bitmap."""
+
+    def __init__(self, words: Words, window: int, anchor: int, bitmap: np.ndarray):
+        self.words, self.hashes = words, np.zeros(0, np.uint64)
+        self.begin = self.stop = np.zeros(0, np.int64)
+        self.hashes, least, grams, whole = _minimisers(words, window, anchor)
+        if not whole.any():
+            return
+        edge = np.ones(len(least), bool)
+        edge[1:] = (least[1:] != least[:-1]) | ~whole[:-1]
+        last = np.ones(len(least), bool)
+        last[:-1] = edge[1:] | ~whole[1:]
+        begin, end = np.flatnonzero(whole & edge), np.flatnonzero(whole & last)
+        keep = in_bitmap(bitmap, least[begin])
+        self.begin, self.stop = begin[keep], end[keep] + window
+        self.least, self.grams, self.chosen = least, grams, _chosen(least, grams, whole, window - anchor)
+
+    def hash(self, salt: bool) -> np.ndarray:
+        return stretches(mix(self.hashes ^ SALT) if salt else self.hashes, self.begin, self.stop)
+
+    def multiple(self, anchor: int) -> np.ndarray:
+        """Whether the minimiser stands more than once in each run (only then may it hold equal windows)."""
+        place = np.flatnonzero(self.chosen)
+        low, high = np.searchsorted(place, self.begin), np.searchsorted(place, self.stop - anchor, "right")
+        size = high - low  # one at least: the minimiser itself
+        each = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+        equal = self.grams[place[each]] == np.repeat(self.least[self.begin], size)
+        return np.add.reduceat(equal, np.cumsum(size) - size, dtype=np.int64) > 1
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _runs(documents: DataFrame, window: int, anchor: int, bitmap: np.ndarray) -> DataFrame:
+    """A row per run: 128-bit hash of its words (h, g), minimiser v, whether v is there more than once,
+    document key, and the words that the run covers (at, stop)."""
 
     def run(batches):
         for batch in batches:
             for part, words, _ in chunks(batch, "text", 1 << 20):
-                h, least, _, whole = _minimisers(words, window, anchor)
-                if not whole.any():
+                r = _Runs(words, window, anchor, bitmap)
+                if not len(r.begin):
                     continue
-                at = np.flatnonzero(whole & in_bitmap(bitmap, least))
-                if not len(at):
+                text = np.searchsorted(words.first, r.begin, "right") - 1
+                offset, key = words.first[text], part.column("key").to_numpy(zero_copy_only=False)[text]
+                yield pa.RecordBatch.from_arrays(
+                    [_long(r.hash(False)), _long(r.hash(True)), _long(r.least[r.begin]), pa.array(r.multiple(anchor)), pa.array(key), pa.array((r.begin - offset).astype(np.int32)), pa.array((r.stop - offset).astype(np.int32))],
+                    ["h", "g", "v", "multiple", "key", "at", "stop"],
+                )
+
+    return documents.select("key", "text").mapInArrow(run, "h long, g long, v long, multiple boolean, key long, at int, stop int")
+
+
+def _windows(documents: DataFrame, window: int, anchor: int, open_: np.ndarray, single: np.ndarray) -> DataFrame:
+    """Windows (h, g) whose minimiser is in the bitmap ``open_``. Those of runs in the bitmap ``single`` (all runs
+    that aren't settled) have n = 1, document key and first word; those of other runs, which
+    are settled, only count: distinct in each chunk, with n = 2 and no place."""
+
+    def run(batches):
+        for batch in batches:
+            for part, words, _ in chunks(batch, "text", 1 << 20):
+                r = _Runs(words, window, anchor, open_)
+                if not len(r.begin):
                     continue
-                one, two = windows(h, window)[at], windows(mix(h ^ np.uint64(0x9E3779B97F4A7C15)), window)[at]
-                text = np.searchsorted(words.first, at, "right") - 1
+                size = r.stop - r.begin - window + 1
+                at = np.arange(size.sum()) + np.repeat(r.begin - (np.cumsum(size) - size), size)
+                placed = np.repeat(in_bitmap(single, r.hash(False)), size)
+                one, two = windows(r.hashes, window), windows(mix(r.hashes ^ SALT), window)
                 key = part.column("key").to_numpy(zero_copy_only=False)
-                for i in range(0, len(at), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), pa.array(key[text[s]]), pa.array((at[s] - words.first[text[s]]).astype(np.int32))],
-                        ["h", "g", "key", "at"],
-                    )
-
-    rows = documents.select("key", "text").mapInArrow(run, "h long, g long, key long, at int")
-    return checkpoint(runs_of(rows, window))
-
-
-def runs_of(rows: DataFrame, window: int) -> DataFrame:
-    """From window rows (h, g, key, at) to the passages of each document."""
-    from pyspark.sql import Window as W
-
-    # A window over (h, g) would bring all copies of one window to one task. Counts come from an
-    # aggregation with map-side partial sums, and the join back may be split where it is skewed.
-    counted = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"), F.col("g").alias("g2"))
-    twice = rows.join(counted, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2"))).select("key", "at").distinct()
-    before = F.lag("at").over(W.partitionBy("key").orderBy("at"))
-    begins = twice.withColumn("b", F.when(before.isNull() | (F.col("at") > before + window), F.col("at")))
-    filled = begins.withColumn("start", F.last("b", ignorenulls=True).over(W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
-    return filled.groupBy("key", "start").agg((F.max("at") + window).alias("stop"))
+                _, first = np.unique(one[at[~placed]], return_index=True)
+                for where, n in ((at[placed], 1), (at[~placed][first], 2)):
+                    for i in range(0, len(where), 1 << 16):
+                        w = where[i : i + (1 << 16)]
+                        text = np.searchsorted(words.first, w, "right") - 1
+                        place = pa.array((w - words.first[text]).astype(np.int32), mask=np.full(len(w), n > 1))
+                        yield pa.RecordBatch.from_arrays([_long(one[w]), _long(two[w]), pa.array(np.full(len(w), n, np.int32)), pa.array(key[text]), place], ["h", "g", "n", "key", "at"])
+
+    return documents.select("key", "text").mapInArrow(run, "h long, g long, n int, key long, at int")
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """The rows with ``again``: whether their (h, g) occurs elsewhere.
+
+    Counted by an aggregation with map-side partial sums and joined back, which may be split where one
+    hash is hot; a window over (h, g) would bring all copies of a passage to one task."""
+    times = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    counted = rows.groupBy("h", "g").agg(times.alias("n")).where("n > 1").select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.lit(True).alias("again"))
+    return rows.where("at IS NOT NULL").join(counted, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left").drop("h2", "g2").withColumn("again", F.coalesce("again", F.lit(False)))
+
+
+def recurring(documents: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
+    """Passages (key, start, stop), in words: unions of overlapping recurring windows."""
+    anchors = bitmap_of(anchor_counts(documents, window, anchor), "h", bits)
+    runs = checkpoint(_twice(_runs(documents, window, anchor, anchors)))
+    # A run that occurs elsewhere as a whole settles its windows. Where another run of the same minimiser
+    # doesn't, the windows of all runs of that minimiser are compared one by one.
+    open_ = runs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bool_or("multiple").alias("multiple"), F.bool_and("again").alias("settled")).where("(n > 1 OR multiple) AND NOT settled").select("v")
+    unsettled = bitmap_of(runs.where("NOT again"), "h", bits)
+    single = _twice(_windows(documents, window, anchor, bitmap_of(open_, "v", bits), unsettled)).where("again")
+    spans = runs.where("again").select("key", "at", "stop").union(single.select("key", "at", (F.col("at") + window).alias("stop")))
+    return checkpoint(united(spans))
+
+
+def united(spans: DataFrame) -> DataFrame:
+    """Overlapping spans (key, at, stop) of each document as one: (key, start, stop)."""
+    order = W.partitionBy("key").orderBy("at", "stop")
+    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begins = spans.distinct().withColumn("b", F.when(reach.isNull() | (F.col("at") > reach), F.col("at")))
+    filled = begins.withColumn("start", F.last("b", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return filled.groupBy("key", "start").agg(F.max("stop").alias("stop"))
 
 
 def locate(documents: DataFrame, window: int, anchor: int = 8, bits: int = 27) -> DataFrame:

@@ -79,6 +79,14 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def stretches(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of any runs of consecutive entries."""
+    n = len(hashes)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * powers(Q, n), out=total[1:])
+    return mix((total[stop] - total[start]) * powers(pow(Q, -1, 2**64), n + 1)[start] + (stop - start).astype(np.uint64))
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k consecutive entries; entry i covers i .. i + k - 1."""
     n = len(hashes)
