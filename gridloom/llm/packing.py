@@ -3,9 +3,9 @@
 Documents become token sequences plus an end id; longer ones are cut into pieces of the
 capacity, the remainder first. What is packed is the histogram of piece lengths (at most
 ``capacity`` numbers, whatever the corpus), on the driver: take the largest length left,
-enumerate the undominated fillings of the rest of its bin, use the chosen filling as often as
-the counts allow. Depth-first branch-and-bound over these choices starts from the best-fit
-decreasing solution as incumbent and prunes by a bound on waste. The plan is then dealt back:
+enumerate the undominated fillings of the rest of its bin, by any number of pieces, use the chosen
+filling as often as the counts allow (in its turn, fewer times). Depth-first branch-and-bound over these choices starts from the best-fit
+decreasing solution as incumbent, prunes by a bound on waste and ends after ``nodes`` fillings. The plan is then dealt back:
 the n-th piece of a length takes the n-th place that the plan has for that length.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and equal ids are packed
@@ -165,14 +165,16 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 class _Left:
-    """Lengths left, with the largest one at most x."""
+    """Lengths left, with the largest one at most x and the sums that lengths up to x can make."""
 
     def __init__(self, counts: np.ndarray):
-        self.n = counts.astype(np.int64).copy()
-        self.sizes = [int(x) for x in np.flatnonzero(self.n)]
+        self.n = [int(c) for c in counts]
+        self.sizes = [x for x, c in enumerate(self.n) if c]
+        self.sums, self.good = [1] * len(self.n), 0  # sums[x] holds for x <= good
 
     def take(self, size: int, times: int) -> None:
         self.n[size] -= times
+        self.good = min(self.good, size - 1)
         if not self.n[size]:
             del self.sizes[bisect_right(self.sizes, size) - 1]
 
@@ -180,54 +182,84 @@ class _Left:
         if not self.n[size]:
             self.sizes.insert(bisect_right(self.sizes, size), size)
         self.n[size] += times
+        self.good = min(self.good, size - 1)
 
     def under(self, x: int) -> int:
         i = bisect_right(self.sizes, x)
         return self.sizes[i - 1] if i else 0
 
-
-def fillings(left: _Left, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three lengths, least waste first, and of equal
-    waste the fewer and larger lengths first; greedily completed where room stays."""
-    found: dict[tuple[int, ...], int] = {}
-    one = left.under(room)
-    if not one:
-        return [()]
-    found[(one,)] = room - one
-    at = bisect_right(left.sizes, room)
-    best = room - one
-    for a in reversed(left.sizes[max(0, at - 256) : at]):
-        if best == 0 and len(found) >= most:
-            break
-        rest = room - a
-        b = left.under(min(rest, a))
-        if b == a and left.n[a] < 2:
-            b = left.under(a - 1)
-        if not b:
+    def reach(self, x: int) -> int:
+        """The sums (bits) of lengths up to x, each used as often as it is left at most."""
+        for size in range(self.good + 1, x + 1):
+            self.sums[size] = more_sums(self.sums[size - 1], size, self.n[size], len(self.n))
+        self.good = max(self.good, x)
+        return self.sums[x]
+
+
+def more_sums(sums: int, size: int, times: int, bits: int) -> int:
+    """Sums (bits) after up to ``times`` pieces of one length, added by doubling."""
+    times, step = min(times, bits // size) if times else 0, 1
+    while times:
+        step = min(step, times)
+        sums |= sums << step * size
+        times -= step
+        step *= 2
+    return sums & ((1 << bits) - 1)
+
+
+def fillings(left: _Left, room: int, big: int, slack=lambda: 1 << 62):
+    """Every filling of ``room``, by any number of lengths, beside one piece of the largest length
+    left, ``big``, that nothing more fits into: least waste first (while ``slack()`` allows it), and of
+    equal waste the larger lengths first.
+
+    Tables of sums tell what can be made, so that no step looks in vain. ``left`` must be as it was
+    whenever the next filling is asked for."""
+
+    def made(x: int, total: int, reach, least: int):
+        """Lengths over ``least`` and up to x that make this total."""
+        if not total:
+            yield ()
+            return
+        x = left.under(min(x, total))
+        while x > least and reach(x) >> total & 1:
+            below = left.under(x - 1)
+            for times in range(min(left.n[x] - (x == big), total // x), 0, -1):
+                if reach(max(below, least)) >> (total - times * x) & 1:
+                    for f in made(below, total - times * x, reach, least):
+                        yield (x,) * times + f
+            x = below
+
+    for waste in range(room + 1):
+        if waste > slack():
+            return
+        # Pieces no larger than the waste must all be in: the filling could take more otherwise.
+        at = bisect_right(left.sizes, waste)
+        small = [x for x in reversed(left.sizes[:at]) for _ in range(left.n[x] - (x == big))]
+        total = room - waste - sum(small)
+        if total < 0:
             continue
-        found[(a, b)] = waste = rest - b
-        best = min(best, waste)
-        c = left.under(min(waste, b)) if waste else 0
-        if c and left.n[c] > (a == c) + (b == c):
-            found[(a, b, c)] = waste - c
-            best = min(best, waste - c)
-    # A filling is dominated if another one's lengths, one for one, are as large and it wastes less.
-    ranked = sorted(found, key=lambda f: (found[f], len(f), tuple(-x for x in f)))[: 4 * most]
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if not any(len(g) >= len(f) and all(x >= y for x, y in zip(g, f)) for g in kept):
-            kept.append(f)
-    return kept[:most]
+        if small:
+            known, sums = {waste: 1}, 1
+            for x in left.sizes[at : bisect_right(left.sizes, room)]:
+                known[x] = sums = more_sums(sums, x, left.n[x] - (x == big), room + 1)
+            if sums >> total & 1:
+                for f in made(room, total, known.__getitem__, waste):
+                    yield (*f, *small)
+        elif left.reach(min(big, room)) >> total & 1:
+            yield from made(min(big, room), total, left.reach, 0)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over a histogram: (lengths of a bin, number of such bins)."""
     left, plan = _Left(counts), []
     while left.sizes:
-        bin_, room = [], capacity
-        while room and (x := left.under(room)) and left.n[x] > bin_.count(x):
-            bin_.append(x)
-            room -= x
+        bin_, room, x = [], capacity, capacity
+        while x := left.under(min(x, room)):
+            if left.n[x] > bin_.count(x):
+                bin_.append(x)
+                room -= x
+            else:
+                x -= 1
         times = min(int(left.n[x]) // bin_.count(x) for x in bin_)
         for x in set(bin_):
             left.take(x, times * bin_.count(x))
@@ -235,61 +267,85 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return plan
 
 
-def pack(counts: np.ndarray, capacity: int = 2048, branches: int = 6, nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion with branch-and-bound over a histogram of lengths (index = length)."""
+def pack(counts: np.ndarray, capacity: int = 2048, nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion with branch-and-bound over a histogram of lengths (index = length), by limited
+    discrepancy: first choices only, then plans that leave them once, twice, and so on. The search is
+    whole but for its limit of ``nodes`` fillings looked at."""
+    total = int((counts * np.arange(len(counts))).sum())
+    left = _Left(counts)
+    capacity = left.reach(capacity).bit_length() - 1  # no bin holds more than the largest sum of lengths
+    if not capacity:
+        return []
     bound = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     bins = sum(t for _, t in incumbent)
-    total = int((counts * np.arange(len(counts))).sum())
     if bins == bound:
         return incumbent
-    left = _Left(counts)
-    path: list[tuple[tuple[int, ...], int, list[tuple[int, ...]]]] = []
+    path: list[tuple[tuple[int, ...], int]] = []
     used = wasted = spent = 0
 
+    def slack() -> int:
+        return (bins - 1) * capacity - total - wasted
+
     def options():
+        """Each bin with the largest length left, as often as the counts allow; then each fewer times."""
         big = left.sizes[-1]
-        left.take(big, 1)
-        found = [(big, *f) for f in fillings(left, capacity - big, branches)]
-        left.give(big, 1)
-        return found
-
-    def apply(bin_):
-        times = min(int(left.n[x]) // bin_.count(x) for x in set(bin_))
+        for fewer in (False, True):
+            for f in fillings(left, capacity - big, big, slack):
+                bin_ = (big, *f)
+                most = min(left.n[x] // bin_.count(x) for x in set(bin_))
+                for times in range(most - 1, 0, -1) if fewer else (most,):
+                    yield bin_, times
+
+    def dominated(bin_) -> bool:
+        """Whether a larger piece fits in the place of one of the filling."""
+        waste = capacity - sum(bin_)
+        swaps = ((x, left.under(min(x + waste, bin_[0]))) for x in set(bin_[1:]))
+        return waste > 0 and any(y > x and left.n[y] > bin_.count(y) for x, y in swaps)
+
+    def move(bin_, times) -> None:
+        nonlocal used, wasted
         for x in set(bin_):
-            left.take(x, times * bin_.count(x))
-        return times
-
-    todo = options() if left.sizes else []
-    while spent < nodes:
-        spent += 1
-        if todo:
-            bin_, *rest = todo
-            times = apply(bin_)
-            used, wasted = used + times, wasted + times * (capacity - sum(bin_))
-            path.append((bin_, times, rest))
-            if not left.sizes:
-                if used < bins:
-                    bins, incumbent = used, [(b, t) for b, t, _ in path]
-                    if bins == bound:
-                        break
-                todo = []
-            elif total + wasted > (bins - 1) * capacity:
-                todo = []  # so much waste leaves no better solution
-            else:
-                todo = options()
-        elif path:
-            bin_, times, rest = path.pop()
-            used, wasted = used - times, wasted - times * (capacity - sum(bin_))
-            for x in set(bin_):
-                left.give(x, times * bin_.count(x))
-            todo = rest
-        else:
-            break
+            (left.take if times > 0 else left.give)(x, abs(times) * bin_.count(x))
+        used, wasted = used + times, wasted + times * (capacity - sum(bin_))
+
+    allowed, cut = -1, True
+    while cut and bins > bound and spent < nodes:
+        allowed, cut = allowed + 1, False
+        todo = [(options(), allowed)]
+        while todo and spent < nodes:
+            choices, spare = todo[-1]
+            step = next(choices, None)
+            while step and dominated(step[0]) and spent < nodes:
+                spent += 1
+                step = next(choices, None)
+            cut = cut or (step is not None and spare < 0)
+            if step is None or spare < 0:
+                todo.pop()
+                if path:
+                    bin_, times = path.pop()
+                    move(bin_, -times)
+                continue
+            spent += 1
+            todo[-1] = choices, spare - 1
+            move(*step)
+            path.append(step)
+            if left.sizes and slack() >= 0:
+                todo.append((options(), spare))
+                continue
+            if slack() >= 0:
+                bins, incumbent = used, path.copy()
+                if bins == bound:
+                    return incumbent
+            path.pop()
+            move(step[0], -step[1])  # complete, or so much waste that no better plan is left
+        for bin_, times in reversed(path):
+            move(bin_, -times)
+        path.clear()
     return incumbent
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, branches: int = 6, nodes: int = 20_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, nodes: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns doc_id, piece, length)."""
     pieces = checkpoint(pieces)
     counts = np.zeros(capacity + 1, np.int64)
@@ -297,7 +353,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, branches: int = 6, node
         counts[size] = n
     places: dict[int, list[tuple[int, int, int]]] = {}
     base = 0
-    for bin_, times in pack(counts, capacity, branches, nodes):
+    for bin_, times in pack(counts, capacity, nodes):
         offset = 0
         for x in bin_:
             places.setdefault(x, []).append((times, base, offset))

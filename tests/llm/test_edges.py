@@ -273,6 +273,32 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert used == collections.Counter(items) and all(sum(b) <= 30 for b, _ in plan)
 
 
+def test_bin_completion_takes_any_number_of_pieces():
+    counts = np.zeros(2049, np.int64)
+    counts[[300, 400, 500]] = 60
+    plan = packing.pack(counts)
+    assert sum(t for _, t in plan) == 36  # all bins hold 2,000
+    assert collections.Counter(x for b, t in plan for x in b * t) == {300: 60, 400: 60, 500: 60} and all(sum(b) <= 2048 for b, _ in plan)
+    short = np.bincount(np.random.Generator(np.random.PCG64(8)).integers(100, 411, 2000), minlength=2049)
+    assert sum(t for _, t in packing.pack(short)) == packing.lower_bound(short, 2048)
+
+
+def test_fillings_are_all_that_are_maximal():
+    rng = np.random.Generator(np.random.PCG64(9))
+    for _ in range(40):
+        items = sorted(rng.integers(1, 20, int(rng.integers(2, 9))).tolist())
+        big, rest, room = items[-1], items[:-1], int(rng.integers(0, 40))
+        want = set()
+        for chosen in range(1 << len(rest)):
+            f = [x for i, x in enumerate(rest) if chosen >> i & 1]
+            others = [x for i, x in enumerate(rest) if not chosen >> i & 1]
+            if sum(f) <= room and all(sum(f) + x > room for x in others):
+                want.add(tuple(sorted(f)))
+        got = [tuple(sorted(f)) for f in packing.fillings(packing._Left(np.bincount(items, minlength=60)), room, big)]
+        assert len(got) == len(want) and set(got) == want
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
 def test_mixing(docs, none):
     covered = mixing.mix(docs)
     assert sorted(covered.columns) == sorted(docs.columns) and covered.agg(F.min("_tokens"), F.max("_tokens")).first() == (9, 9)
