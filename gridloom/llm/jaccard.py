@@ -11,7 +11,8 @@ documents) are further dealt to cells by hash. A document of n tokens that may l
 each rare token as a signature, each pair of frequent tokens of one cell as another. Whichever e
 tokens are lost, a rare token or a pair within a cell survives, and of two linked documents the
 one whose prefix ends first has its survivor in the other's prefix too: linked documents share
-a signature. The number of cells follows the size band (power of two) of n; a document near a
+a signature. (Where a set has too few tokens for that sum, its frequent tokens are signatures too.) Sets so
+small that one token more is below the threshold link with equal sets only and aren't indexed. The number of cells follows the size band (power of two) of n; a document near a
 band's end is indexed for the next band as well.
 
 Per signature, the document that has the fewest rare tokens leads; (leader, member) pairs are
@@ -93,6 +94,11 @@ def lacks(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9)
 
 
+def equal_only(n, threshold: float):
+    """Whether sets of n tokens (a number or a column) link with equal sets only: one token more is too many."""
+    return 100 * n < round(threshold * 100) * (n + 1)
+
+
 def prefix_signatures(rare: np.ndarray, frequent: np.ndarray, threshold: float) -> np.ndarray:
     """Signatures of one set (both parts sorted): see the module's text."""
     n = len(rare) + len(frequent)
@@ -112,6 +118,8 @@ def prefix_signatures(rare: np.ndarray, frequent: np.ndarray, threshold: float)
             before = np.empty(len(cell), np.int64)
             before[order] = np.arange(len(cell)) - starts[cell[order]]
             gained = np.cumsum(before > 0)
+            if gained[-1] < more:  # one token may be all that is shared
+                out.append(frequent)
             stop = int(np.searchsorted(gained, more)) + 1
             if stop > len(cell):
                 stop = len(cell)
@@ -154,7 +162,7 @@ def profiles(documents: DataFrame, k: int, threshold: float, frequent: np.ndarra
                     one.append(int(mix(s).sum(dtype=np.uint64)) if len(s) else 0)
                     two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0)
                     sketch.append(sketch_of(s))
-                    if len(s) <= 5:  # these link with equal sets only
+                    if not len(s) or equal_only(len(s), threshold):
                         signatures.append(b"")
                         priority.append(len(s))
                         continue
@@ -308,7 +316,7 @@ def join_components(documents: DataFrame, k: int, threshold: float, floor: int =
     frequent, _ = frequent_tokens(documents, k, floor, entries)
     made = checkpoint(profiles(documents, k, threshold, frequent))
     classes = checkpoint(made.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")))
-    named = classes.where("rep IS NOT NULL AND n > 5").select(F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), "rep")
+    named = classes.where(F.col("rep").isNotNull() & ~equal_only(F.col("n"), threshold)).select(F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), "rep")
     first_row = (F.col("n") == F.col("n2")) & (F.col("f") == F.col("f2")) & (F.col("g") == F.col("g2")) & (F.col("doc_id") == F.col("rep"))
     index = checkpoint(made.join(named, first_row).select("rep", "priority", "signatures", "sketch"))
     # Most signatures are one document's alone: only their counts are shuffled, a bitmap takes them out,

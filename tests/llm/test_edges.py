@@ -157,6 +157,20 @@ def test_jaccard(docs, none, k, threshold):
     assert jaccard.join_components(none, k, threshold).count() == 0
 
 
+@pytest.mark.parametrize("threshold,floor", [(0.8, 99), (0.8, 2), (0.5, 2)])
+def test_jaccard_of_small_sets(spark, threshold, floor):
+    """Sets of n shingles and the same with one more; with all tokens rare, and with all frequent."""
+    rows = []
+    for n in (1, 2, 3, 4, 5, 6):
+        text = prose(n + 5)
+        rows += [(len(rows), " ".join(text[:-1])), (len(rows) + 1, " ".join(text)), (len(rows) + 2, " ".join([f"x{n}", *text[:-1]]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join_components(d, 5, threshold, floor=floor).toPandas()
+    assert collections.Counter(zip(got.doc_id, got.n_shingles, got.component_id)) == brute_components(rows, 5, round(threshold * 100))
+    if floor == 99:
+        assert jaccard.keep_one(d, 5, threshold).count() == len(rows) - 6  # of n = 4, 5 and 6
+
+
 def test_jaccard_keeps_one(docs):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
