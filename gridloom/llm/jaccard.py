@@ -311,8 +311,9 @@ def cross_pairs(members: DataFrame, group: DataFrame, index: DataFrame, threshol
 ROLES = "array<struct<i:int,j:int,query:boolean>>"
 
 
-def join_components(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, bits: int = 27) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+def indexed(documents: DataFrame, k: int, threshold: float, floor: int, entries: int, bits: int):
+    """Profiles of all documents, classes of equal sets, the representatives' profiles, and (s, rep, priority)
+    of their signatures."""
     frequent, _ = frequent_tokens(documents, k, floor, entries)
     made = checkpoint(profiles(documents, k, threshold, frequent))
     classes = checkpoint(made.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")))
@@ -322,7 +323,26 @@ def join_components(documents: DataFrame, k: int, threshold: float, floor: int =
     # Most signatures are one document's alone: only their counts are shuffled, a bitmap takes them out,
     # and what it lets through by chance goes with the exact counts below.
     shared = unpacked(index, None).groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = checkpoint(unpacked(index, bitmap_of(shared, "s", bits)))
+    return made, classes, index, checkpoint(unpacked(index, bitmap_of(shared, "s", bits)))
+
+
+def join_pairs(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, bits: int = 27) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (a, b), every linked pair of representatives with a < b, and (doc_id, rep), the
+    membership of all documents with a set. Documents of one representative link by equal sets.
+
+    Unlike components, the pairs of a group grow with its square."""
+    made, classes, index, rows = indexed(documents, k, threshold, floor, entries, bits)
+    size = F.col("priority").bitwiseAND(F.lit(0xFFFFFFFF))
+    one, two = rows.select("s", F.col("rep").alias("a"), size.alias("n")), rows.select("s", F.col("rep").alias("b"), size.alias("m"))
+    fits = F.least("n", "m") >= F.lit(threshold - 1e-9) * F.greatest("n", "m")
+    pairs = checkpoint(one.join(two, "s").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct())
+    members = made.join(classes, ["n", "f", "g"]).select("doc_id", "rep")
+    return verified(pairs, index, documents, k, threshold), members
+
+
+def join_components(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, bits: int = 27) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    made, classes, index, rows = indexed(documents, k, threshold, floor, entries, bits)
     leaders = rows.groupBy("s").agg(F.min_by("rep", "priority").alias("lead"), F.min("priority").alias("lead_priority"), F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("s", "s2")
     size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     buckets = rows.join(leaders, F.col("s") == F.col("s2")).where("rep <> lead")

@@ -193,6 +193,21 @@ def test_jaccard_groups_and_frequent_tokens(spark):
     assert collections.Counter(zip(got.doc_id, got.n_shingles, got.component_id)) == brute_components(rows, 4, 85)
 
 
+def test_jaccard_pairs(spark):
+    """All links, those between two members of one component that aren't their leader's too."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    hub = prose(120)
+    rows = [(i, " ".join(w if rng.random() > 0.012 else f"y{i}" for w in hub)) for i in range(40)]
+    rows += [(40 + i, rows[i][1]) for i in range(5)] + [(50 + i, " ".join(hub[:60] + prose(60))) for i in range(5)] + [(60, None), (None, rows[0][1])]
+    pairs, members = jaccard.join_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.85, floor=6)
+    rep = dict((r.doc_id, r.rep) for r in members.collect())
+    sets = {d: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for d, t in rows if t}
+    assert rep.keys() == sets.keys() and all(sets[d] == sets[r] for d, r in rep.items())
+    reps = sorted(set(rep.values()))
+    want = [(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert sorted((r.a, r.b) for r in pairs.collect()) == want and len(want) > 2 * len(reps)
+
+
 def test_prefix_signatures_share_one_for_every_linked_pair():
     rng = np.random.Generator(np.random.PCG64(3))
     for _ in range(300):
