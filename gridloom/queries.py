@@ -268,11 +268,14 @@ def segmentation_metrics(spark, sf_dir):
 @query("""SELECT d.t::BIGINT AS day, u.user_id AS user_id, coalesce(g.cents, 0)::BIGINT AS cents FROM (SELECT unnest(range(0, 30)) t) d CROSS JOIN (SELECT DISTINCT user_id FROM events) u
 LEFT JOIN (SELECT datediff('day', DATE '2024-01-01', ts::DATE) t, user_id, sum(round(value*100)::BIGINT) cents FROM events GROUP BY 1, 2) g ON g.t = d.t AND g.user_id = u.user_id""", "")
 def event_grid(spark, sf_dir):
-    """A dense (day, user) array from events, zero filled; the grid is days times the distinct users."""
+    """A dense (day, user) array from events, zero filled; the grid is days times the distinct users. The days
+    are 0 to 29, as in the SQL, and on to the first and the last day that events have."""
     df = read(spark, sf_dir, "events")
-    users = df.select("user_id").distinct()
-    days = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(29).cast("bigint")))
-    sums = df.groupBy(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("day"), "user_id").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
+    span = df.agg(F.least(F.min(day), F.lit(0)).cast("bigint").alias("first"), F.greatest(F.max(day), F.lit(29)).cast("bigint").alias("last"))
+    users = df.select("user_id").distinct().crossJoin(F.broadcast(span))
+    days = F.explode(F.sequence("first", "last"))
+    sums = df.groupBy(day.alias("day"), "user_id").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
     return users.select(days.alias("day"), "user_id").join(sums, ["day", "user_id"], "left").select("day", "user_id", F.coalesce("cents", F.lit(0)).cast("bigint").alias("cents"))
 
 

@@ -313,3 +313,16 @@ def test_pending_is_lazy(spark):
     a = NamedArray(Selection(meta(MOVIE.shape, ("time", "y", "x")), explode), spark=spark)
     (np.median(a[2:5] * 2, axis="time").astype("f4") + 1).expression
     assert expr.memory(a.expression) == 480 and a.selection.plan()["bytes"] == 480
+
+
+def test_event_grid_keeps_events_of_all_days(spark, tmp_path):
+    import datetime
+
+    from gridloom.queries import event_grid
+
+    at = datetime.datetime(2024, 1, 1, 12)
+    rows = [(i, at + datetime.timedelta(days=d), u, 1.25) for i, (d, u) in enumerate([(-2, 1), (3, 1), (3, 1), (31, 2)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.day, r.user_id): r.cents for r in event_grid(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(d, u) for d in range(-2, 32) for u in (1, 2)}
+    assert {k: v for k, v in got.items() if v} == {(-2, 1): 125, (3, 1): 250, (31, 2): 125}
