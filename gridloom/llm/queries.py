@@ -15,4 +15,11 @@ from gridloom.llm.warc import op7_dictionary_warc
 
 QUERIES = {q.__name__: q for q in (op1_hash_tree_sharding, op2_line_crf_quality, op3_word_crf_language, op4_jaccard_join, op5_collision_counting, op6_main_text, op7_dictionary_warc, op8_repeated_passages, op9_best_fit_packing, op10_temperature_mixing)}
 
-SQL: dict[str, str] = {}
+#: The archives and dictionaries are files; the table that is read back from them is what op7's SQL gives.
+SQL: dict[str, str] = {
+    "op7_dictionary_warc": r"""WITH p AS (SELECT page_id::BIGINT AS page_id, url, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+s AS (SELECT digest, max(page_id) AS response FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1),
+r AS (SELECT p.*, s.response, coalesce(p.n >= 1000 AND s.response IS NOT NULL AND s.response IS DISTINCT FROM p.page_id, false) AS revisit FROM p LEFT JOIN s ON s.digest = p.digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN revisit THEN response END AS refers_to, regexp_replace(coalesce(url, ''), '[\x00-\x20]', '', 'g') AS url FROM r""",
+}

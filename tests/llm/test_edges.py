@@ -437,6 +437,22 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(warc.with_types(d.where("false")), folder), folder).count() == 0
 
 
+def test_warc_agrees_with_its_sql(spark, tmp_path):
+    import duckdb
+
+    from gridloom.llm.queries import QUERIES, SQL
+
+    name = "op7_dictionary_warc"
+    rows = [(1, "http://a/ b\t", "x" * 1500), (2, None, "x" * 1500), (2, "u", "x" * 1500), (3, "u", "small"), (4, "u", "small"), (5, "", None), (6, "u", "é" * 500), (7, "u", "é" * 500), (8, "u", "y" * 999), (9, "u", "y" * 999), (None, "u", "z" * 2000), (10, "u", "w" * 2000), (None, "u", "w" * 2000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found, got = con.execute(SQL[name]), QUERIES[name](spark, str(tmp_path))
+    assert [c[0] for c in found.description] == got.columns
+    want = collections.Counter(found.fetchall())
+    assert collections.Counter(map(tuple, got.collect())) == want and len(want) == 13
+
+
 def test_archives_are_standard_frames(spark):
     import struct
 
