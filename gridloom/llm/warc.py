@@ -2,7 +2,9 @@
 
 Each archive is one .warc.zst file: a leading skippable frame (magic 0x184D2A5D) holds the
 dictionary, then every record is a frame of its own that names that dictionary. Dictionaries are
-trained per archive on records of that archive, up to a documented number of bytes. Of equal
+trained per archive on its first records: those up to 1 MB in all (``sample``, of about 64 MB that an archive
+takes compressed, ``size``), and of each the first 32 KB only. Records are whole whatever the dictionary; where
+later ones are unlike the first, they compress less well. Of equal
 payloads one record is the response, the others are revisits that point to it.
 
 Archives are written by the executors into the shared folder, through whatever file system its
@@ -95,7 +97,8 @@ def dictionary(samples: list[bytes], size: int):
 
 
 class Archive:
-    """Writes one archive. Records wait until ``sample`` bytes of them are there to train on."""
+    """Writes one archive. Records wait until ``sample`` bytes of them are there to train on; of each, the
+    first 32 KB are used."""
 
     def __init__(self, folder: str, sample: int, size: int, level: int):
         self.fs, self.folder = open_folder(folder)
