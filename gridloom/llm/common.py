@@ -3,6 +3,7 @@ numbers, bounded bitmaps and connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (as in tests on one machine) a fresh temporary folder is used."""
+    Only where that is unset on one machine (a local master, as in tests) a fresh temporary folder is
+    used; on a cluster it would be a folder of the driver alone, and is refused."""
     context = spark.sparkContext
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not wanted and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(wanted or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
         current = context._jsc.sc().getCheckpointDir()
     return wanted or current.get()
@@ -39,6 +43,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: like a checkpoint, but in compressed columns."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(spark: SparkSession) -> int:
     """Number of hash buckets for work that must not meet in one task."""
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -66,40 +77,84 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], key: list[Col
 def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of ``2**bits`` bits, set at the low bits of the 64-bit values of a column.
 
-    Fixed size whatever the input: each task yields its own non-zero 64 kbit blocks and the
-    blocks are united by key, so that the driver gets ``2**bits / 8`` bytes at most."""
+    Fixed size whatever the input. A task holds the packed bits of its values and yields them in
+    64 kbit blocks, as sorted 16-bit places where there are few and as packed bits where there are many; blocks are
+    united by key, so that the driver gets ``2**bits / 8`` bytes at most."""
     block = min(bits, 16)
+    size = (1 << block) // 8
 
-    def set_bits(batches):
-        own = np.zeros(1 << bits, np.bool_)
-        for b in batches:
-            own[b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)] = True
+    def packed(held: np.ndarray):
         import pyarrow as pa
 
-        parts = own.reshape(-1, 1 << block)
+        parts = held.reshape(-1, size)
         used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int64)), pa.array([np.packbits(parts[k]).tobytes() for k in used], pa.binary())], ["k", "v"]
-        )
+        for i in range(0, len(used), 128):
+            rows = []
+            for k in used[i : i + 128]:
+                places = np.flatnonzero(np.unpackbits(parts[k])).astype("<u2") if np.bitwise_count(parts[k]).sum(dtype=np.int64) * 2 < size else None
+                rows.append((places is None, (parts[k] if places is None else places).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 128].astype(np.int64)), pa.array([d for d, _ in rows], pa.bool_()), pa.array([v for _, v in rows], pa.binary())], ["k", "dense", "v"])
+
+    def unpacked(dense: bool, v: bytes) -> np.ndarray:
+        if dense:
+            return np.frombuffer(v, np.uint8)
+        own = np.zeros(size * 8, np.uint8)
+        own[np.frombuffer(v, "<u2")] = 1
+        return np.packbits(own)
 
-    def unite(batches):
-        import pyarrow as pa
+    def set_bits(batches):
+        own = np.zeros(1 << bits >> 3, np.uint8)
+        for b in batches:
+            at = np.unique(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            if len(at):
+                byte, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+                first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+                own[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+        yield from packed(own)
 
+    def unite(batches):
         found: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column("k").to_pylist(), b.column("v").to_pylist()):
-                v = np.frombuffer(v, np.uint8)
+            for k, dense, v in zip(*(b.column(c).to_pylist() for c in ("k", "dense", "v"))):
+                v = unpacked(dense, v)
                 found[k] = found[k] | v if k in found else v.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["k", "v"])
+        import pyarrow as pa
+
+        for k, v in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([True]), pa.array([v.tobytes()], pa.binary())], ["k", "dense", "v"])
 
-    rows = df.select(F.col(column).cast("long").alias("x")).mapInArrow(set_bits, "k long, v binary").repartition("k").mapInArrow(unite, "k long, v binary").collect()
+    kind = "k long, dense boolean, v binary"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(column).cast("long").alias("x")).mapInArrow(set_bits, kind).repartition(n, "k").mapInArrow(unite, kind).collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for k, v in rows:
-        v = np.frombuffer(v, np.uint8)
-        out[k * len(v) : (k + 1) * len(v)] |= v
+    for k, _, v in rows:
+        out[k * size : (k + 1) * size] = np.frombuffer(v, np.uint8)
     return out
 
 
+class Known:
+    """A set of 64-bit values to sift rows by. While 2**``most`` bits hold 16 bits a value it is a bitmap, sized by the
+    counted values, that travels to the tasks and lets one in 16 others through; beyond that
+    the bitmap is None and ``sift`` joins with the table of values."""
+
+    def __init__(self, values: DataFrame, column: str, most: int = 27):
+        self.table = checkpoint(values.select(F.col(column).cast("long").alias("_known")))
+        n = self.table.count()
+        bits = max(16, (16 * n - 1).bit_length()) if n else 3
+        self.bitmap = bitmap_of(self.table, "_known", bits) if bits <= max(most, 3) else None
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """Whether each value may be in the set (all may, where there is no bitmap)."""
+        return np.ones(len(values), bool) if self.bitmap is None else in_bitmap(self.bitmap, values)
+
+    def sift(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows that ``holds`` let through, by the table where there is no bitmap."""
+        return rows if self.bitmap is not None else rows.join(self.table, F.col(column) == F.col("_known"), "left_semi")
+
+    def __getstate__(self):  # tasks get the bitmap alone
+        return {"bitmap": self.bitmap}
+
+
 def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     at = values & np.uint64(len(bitmap) * 8 - 1)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
