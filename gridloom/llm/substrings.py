@@ -1,21 +1,24 @@
 """Substring deduplication: word windows that recur anywhere are cut out of the documents.
 
-1. Anchors. Each window of ``window`` words has a minimiser, its ``anchor``-word sequence of the
-   least hash; equal windows have equal ones. Their counts over the corpus leave those that
-   occur twice or more, kept as a bitmap of fixed size.
-2. Confirmation. Consecutive windows with one recurring minimiser are a run, and yield one row (128-bit
-   hash, document, position). A run that occurs elsewhere as a whole settles its windows; where some run
-   of a minimiser doesn't, windows of that minimiser yield rows of their own, and those whose hash
-   occurs twice or more are recurring. Overlapping recurring windows of a document are a passage.
-   A crowded bitmap lets more rows through; none is lost.
-3. Automata. The documents, joined with their passages, are streamed shard by shard: the
-   distinct passages of a shard are compiled to an Aho-Corasick automaton over word numbers, and
-   the shard's documents run through it to find every occurrence of every passage. All words
-   of an occurrence lie in recurring windows, so they go.
+1. Anchors. Each window of ``window`` words has a minimiser, the leftmost place of its ``anchor``-word
+   sequence of the least hash; equal windows have it at equal places. Minimisers that occur twice or more in
+   the corpus are known to the tasks.
+2. Confirmation. Consecutive windows with one minimiser place are a run. Runs with a recurring minimiser are
+   counted by their words (64-bit hash, and the minimiser's). A run that occurs elsewhere as a whole settles
+   its windows; where some run of a minimiser doesn't, windows of that minimiser are counted one by one. What occurs
+   twice or more is a passage. Documents are dealt to shards by hash, and of all occurrences
+   of a passage in a shard one place alone, in the document of the least key, leaves this step.
+3. Automata. A shard's passages are cut out of these documents and compiled to an Aho-Corasick automaton over
+   word numbers; all documents of the shard are streamed through it, and its matches are the places of
+   every passage. All words of an occurrence lie in recurring windows, so they go. (Passages that have one
+   occurrence in a shard are united where they overlap.)
+
+A shard holds about ``shard_bytes`` of text; of a shard that is larger, because one text is or because many rows agree in
+id and text, parts are streamed one after another, with the passages found so far.
 
 Defined cases: a null or empty text has no words; repeated rows are separate documents, so all
 their windows recur; an empty table gives an empty result; other columns are ignored by
-``locate`` and kept by ``remove``."""
+``op8_repeated_passages`` and kept by ``remove``."""
 
 from __future__ import annotations
 
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bitmap_of, checkpoint, in_bitmap, table
-from gridloom.llm.textkit import Words, chunks, mix, stretches, windows
+from gridloom.llm.common import Known, stored, table
+from gridloom.llm.textkit import Words, chunks, stretches, windows
 
 
 def _sliding(x: np.ndarray, k: int, f) -> np.ndarray:
@@ -41,24 +44,46 @@ def _sliding(x: np.ndarray, k: int, f) -> np.ndarray:
     return f(out[: len(out) - (k - have)], out[k - have :]) if k > have else out
 
 
+PLACE = np.uint64((1 << 30) - 1)
+
+
 def _minimisers(words: Words, window: int, anchor: int):
-    """(word hashes, least anchor hash of each window start, anchor hashes, whether a window
-    starts there). Entries are by word number, over all texts of the chunk."""
+    """(word hashes, place of each window's minimiser, its hash, whether a window starts there). Entries are
+    by word number, over all texts of the chunk."""
     h = words.hashes()
     n = len(h)
     if n < window:
-        return h, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return h, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     grams = windows(h, anchor)
-    least = _sliding(grams, window - anchor + 1, np.minimum)
+    # 34 bits of the hash order the places; equal ones go by place, the same way in equal windows.
+    code = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
+    at = (_sliding(code, window - anchor + 1, np.minimum) & PLACE).astype(np.int64)
     stop = np.repeat(words.first[1:], np.diff(words.first))
     whole = np.arange(n - window + 1) + window <= stop[: n - window + 1]
-    return h, least, grams, whole
+    return h, at, grams[at], whole
+
+
+class _Runs:
+    """Runs of consecutive windows of a chunk that have one minimiser place, where its hash ``v`` is known:
+    first word ``begin``, word behind the last ``stop`` (under 2 * window words)."""
 
+    def __init__(self, words: Words, window: int, anchor: int, anchors: Known | None):
+        self.words, self.v = words, np.zeros(0, np.uint64)
+        self.begin = self.stop = np.zeros(0, np.int64)
+        self.hashes, at, value, whole = _minimisers(words, window, anchor)
+        if not whole.any():
+            return
+        edge, last = np.ones(len(at), bool), np.ones(len(at), bool)
+        edge[1:] = (at[1:] != at[:-1]) | ~whole[:-1]
+        last[:-1] = edge[1:] | ~whole[1:]
+        begin, end = np.flatnonzero(whole & edge), np.flatnonzero(whole & last)
+        if anchors is not None:
+            keep = anchors.holds(value[begin])
+            begin, end = begin[keep], end[keep]
+        self.begin, self.stop, self.v = begin, end + window, value[begin]
 
-def _chosen(least: np.ndarray, grams: np.ndarray, whole: np.ndarray, reach: int) -> np.ndarray:
-    """Whether the anchor at each position is the minimiser of some window."""
-    cover = np.concatenate([np.zeros(reach, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(reach, np.uint64)])
-    return _sliding(cover, reach + 1, np.maximum)[: len(grams)] == grams
+    def hash(self) -> np.ndarray:
+        return stretches(self.hashes, self.begin, self.stop)
 
 
 def anchor_counts(documents: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -67,77 +92,52 @@ def anchor_counts(documents: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, words, _ in chunks(batch, "text", 1 << 20):
-                _, least, grams, whole = _minimisers(words, window, anchor)
-                if not whole.any():
-                    continue
-                value, times = np.unique(grams[_chosen(least, grams, whole, window - anchor)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["h", "n"])
+                value, times = np.unique(_Runs(words, window, anchor, None).v, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_long(value), pa.array(np.minimum(times, 2).astype(np.int32))], ["h", "n"])
 
     return documents.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-SALT = np.uint64(0x9E3779B97F4A7C15)
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-class _Runs:
-    """Runs of consecutive windows of a chunk that have one minimiser, where it is in the bitmap."""
+#: A place: first word, number of words (20 bits).
+SPAN = 20
 
-    def __init__(self, words: Words, window: int, anchor: int, bitmap: np.ndarray):
-        self.words, self.hashes = words, np.zeros(0, np.uint64)
-        self.begin = self.stop = np.zeros(0, np.int64)
-        self.hashes, least, grams, whole = _minimisers(words, window, anchor)
-        if not whole.any():
-            return
-        edge = np.ones(len(least), bool)
-        edge[1:] = (least[1:] != least[:-1]) | ~whole[:-1]
-        last = np.ones(len(least), bool)
-        last[:-1] = edge[1:] | ~whole[1:]
-        begin, end = np.flatnonzero(whole & edge), np.flatnonzero(whole & last)
-        keep = in_bitmap(bitmap, least[begin])
-        self.begin, self.stop = begin[keep], end[keep] + window
-        self.least, self.grams, self.chosen = least, grams, _chosen(least, grams, whole, window - anchor)
 
-    def hash(self, salt: bool) -> np.ndarray:
-        return stretches(mix(self.hashes ^ SALT) if salt else self.hashes, self.begin, self.stop)
+def _rows(part, words: Words, at: np.ndarray, size, h: np.ndarray, v: np.ndarray, n: int | None = None):
+    """Batches of counted rows (h, v, n, shard, key, place); with n they have no place."""
+    for i in range(0, len(at), 1 << 16):
+        s = slice(i, i + (1 << 16))
+        text = np.searchsorted(words.first, at[s], "right") - 1
+        none = None if n is None else np.ones(len(text), bool)
+        shard, key = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("shard", "key"))
+        place = (at[s] - words.first[text] << SPAN) + (size[s] if isinstance(size, np.ndarray) else size)
+        yield pa.RecordBatch.from_arrays(
+            [_long(h[s]), _long(v[s]), pa.array(np.full(len(text), n or 1, np.int64)), pa.array(np.where(n is None, shard, -1).astype(np.int32)), pa.array(key, mask=none), pa.array(place.astype(np.int64), mask=none)],
+            ["h", "v", "n", "shard", "key", "place"],
+        )
 
-    def multiple(self, anchor: int) -> np.ndarray:
-        """Whether the minimiser stands more than once in each run (only then may it hold equal windows)."""
-        place = np.flatnonzero(self.chosen)
-        low, high = np.searchsorted(place, self.begin), np.searchsorted(place, self.stop - anchor, "right")
-        size = high - low  # one at least: the minimiser itself
-        each = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
-        equal = self.grams[place[each]] == np.repeat(self.least[self.begin], size)
-        return np.add.reduceat(equal, np.cumsum(size) - size, dtype=np.int64) > 1
 
+COUNTED = "h long, v long, n long, shard int, key long, place long"
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
 
-
-def _runs(documents: DataFrame, window: int, anchor: int, bitmap: np.ndarray) -> DataFrame:
-    """A row per run: 128-bit hash of its words (h, g), minimiser v, whether v is there more than once,
-    document key, and the words that the run covers (at, stop)."""
+def _runs(documents: DataFrame, window: int, anchor: int, anchors: Known) -> DataFrame:
+    """A row per run whose minimiser may recur."""
 
     def run(batches):
         for batch in batches:
             for part, words, _ in chunks(batch, "text", 1 << 20):
-                r = _Runs(words, window, anchor, bitmap)
-                if not len(r.begin):
-                    continue
-                text = np.searchsorted(words.first, r.begin, "right") - 1
-                offset, key = words.first[text], part.column("key").to_numpy(zero_copy_only=False)[text]
-                yield pa.RecordBatch.from_arrays(
-                    [_long(r.hash(False)), _long(r.hash(True)), _long(r.least[r.begin]), pa.array(r.multiple(anchor)), pa.array(key), pa.array((r.begin - offset).astype(np.int32)), pa.array((r.stop - offset).astype(np.int32))],
-                    ["h", "g", "v", "multiple", "key", "at", "stop"],
-                )
+                r = _Runs(words, window, anchor, anchors)
+                yield from _rows(part, words, r.begin, r.stop - r.begin, r.hash(), r.v)
 
-    return documents.select("key", "text").mapInArrow(run, "h long, g long, v long, multiple boolean, key long, at int, stop int")
+    return anchors.sift(documents.select("shard", "key", "text").mapInArrow(run, COUNTED), "v").select(*[c.split()[0] for c in COUNTED.split(", ")])
 
 
-def _windows(documents: DataFrame, window: int, anchor: int, open_: np.ndarray, single: np.ndarray) -> DataFrame:
-    """Windows (h, g) whose minimiser is in the bitmap ``open_``. Those of runs in the bitmap ``single`` (all runs
-    that aren't settled) have n = 1, document key and first word; those of other runs, which
-    are settled, only count: distinct in each chunk, with n = 2 and no place."""
+def _windows(documents: DataFrame, window: int, anchor: int, open_: Known, single: Known) -> DataFrame:
+    """Windows of minimisers in ``open_``. Those of runs in ``single`` (all runs that aren't settled) have a
+    place; those of other runs, which are settled, only count: distinct in each chunk, with n = 2."""
 
     def run(batches):
         for batch in batches:
@@ -147,111 +147,162 @@ def _windows(documents: DataFrame, window: int, anchor: int, open_: np.ndarray,
                     continue
                 size = r.stop - r.begin - window + 1
                 at = np.arange(size.sum()) + np.repeat(r.begin - (np.cumsum(size) - size), size)
-                placed = np.repeat(in_bitmap(single, r.hash(False)), size)
-                one, two = windows(r.hashes, window), windows(mix(r.hashes ^ SALT), window)
-                key = part.column("key").to_numpy(zero_copy_only=False)
-                _, first = np.unique(one[at[~placed]], return_index=True)
-                for where, n in ((at[placed], 1), (at[~placed][first], 2)):
-                    for i in range(0, len(where), 1 << 16):
-                        w = where[i : i + (1 << 16)]
-                        text = np.searchsorted(words.first, w, "right") - 1
-                        place = pa.array((w - words.first[text]).astype(np.int32), mask=np.full(len(w), n > 1))
-                        yield pa.RecordBatch.from_arrays([_long(one[w]), _long(two[w]), pa.array(np.full(len(w), n, np.int32)), pa.array(key[text]), place], ["h", "g", "n", "key", "at"])
-
-    return documents.select("key", "text").mapInArrow(run, "h long, g long, n int, key long, at int")
-
-
-def _twice(rows: DataFrame) -> DataFrame:
-    """The rows with ``again``: whether their (h, g) occurs elsewhere.
-
-    Counted by an aggregation with map-side partial sums and joined back, which may be split where one
-    hash is hot; a window over (h, g) would bring all copies of a passage to one task."""
-    times = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
-    counted = rows.groupBy("h", "g").agg(times.alias("n")).where("n > 1").select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.lit(True).alias("again"))
-    return rows.where("at IS NOT NULL").join(counted, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left").drop("h2", "g2").withColumn("again", F.coalesce("again", F.lit(False)))
-
-
-def recurring(documents: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """Passages (key, start, stop), in words: unions of overlapping recurring windows."""
-    anchors = bitmap_of(anchor_counts(documents, window, anchor), "h", bits)
-    runs = checkpoint(_twice(_runs(documents, window, anchor, anchors)))
+                v, h, placed = np.repeat(r.v, size), windows(r.hashes, window)[at], np.repeat(single.holds(r.hash()), size)
+                yield from _rows(part, words, at[placed], window, h[placed], v[placed])
+                _, first = np.unique(h[~placed], return_index=True)
+                yield from _rows(part, words, at[~placed][first], window, h[~placed][first], v[~placed][first], 2)
+
+    return open_.sift(documents.select("shard", "key", "text").mapInArrow(run, COUNTED), "v").select(*[c.split()[0] for c in COUNTED.split(", ")])
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """One row per (h, v) and shard: n there, the place of the least key, and ``total`` of all shards.
+
+    Partial sums come before the shuffle, and a hot passage is at most one row a shard behind it."""
+    own = rows.groupBy("h", "v", "shard").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place"))
+    return stored(own.withColumn("total", F.sum("n").over(W.partitionBy("h", "v"))))
+
+
+def recurring(documents: DataFrame, window: int, anchor: int, most: int) -> DataFrame:
+    """(shard, key, place, alone): one place of each recurring passage in each shard that has it; ``alone``
+    where it is the only one there."""
+    anchors = Known(anchor_counts(documents, window, anchor), "h", most)
+    runs = _counted(_runs(documents, window, anchor, anchors))
     # A run that occurs elsewhere as a whole settles its windows. Where another run of the same minimiser
     # doesn't, the windows of all runs of that minimiser are compared one by one.
-    open_ = runs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bool_or("multiple").alias("multiple"), F.bool_and("again").alias("settled")).where("(n > 1 OR multiple) AND NOT settled").select("v")
-    unsettled = bitmap_of(runs.where("NOT again"), "h", bits)
-    single = _twice(_windows(documents, window, anchor, bitmap_of(open_, "v", bits), unsettled)).where("again")
-    spans = runs.where("again").select("key", "at", "stop").union(single.select("key", "at", (F.col("at") + window).alias("stop")))
-    return checkpoint(united(spans))
-
-
-def united(spans: DataFrame) -> DataFrame:
-    """Overlapping spans (key, at, stop) of each document as one: (key, start, stop)."""
-    order = W.partitionBy("key").orderBy("at", "stop")
-    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
-    begins = spans.distinct().withColumn("b", F.when(reach.isNull() | (F.col("at") > reach), F.col("at")))
-    filled = begins.withColumn("start", F.last("b", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return filled.groupBy("key", "start").agg(F.max("stop").alias("stop"))
-
-
-def locate(documents: DataFrame, window: int, anchor: int = 8, bits: int = 27) -> DataFrame:
-    """Adds to (key, text, ...) the column ``gone``: pairs (start, stop) of word numbers, flat,
-    of every occurrence of a recurring passage."""
-    passages = recurring(documents, window, anchor, bits)
-    spans = passages.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    spans = spans.select(F.col("key").alias("k2"), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["stop"]))).alias("spans"))
-    joined = documents.join(spans, F.col("key") == F.col("k2"), "left").drop("k2")
-    return joined
-
-
-#: Code points that a word number may take: all but surrogates.
-def _letters(numbers: np.ndarray) -> str:
-    return np.where(numbers < 0xD7FF, numbers + 1, numbers + 0x801).astype("<u4").tobytes().decode("utf-32-le")
-
-
-def occurrences(words: Words, spans: list[np.ndarray | None]) -> np.ndarray:
-    """Whether each word of the texts lies in an occurrence of a passage of this shard."""
-    gone = np.zeros(len(words.start), bool)
-    if not any(s is not None and len(s) for s in spans):
-        return gone
-    _, number = np.unique(words.hashes(), return_inverse=True)
-    if number.max(initial=0) > 0x10F7FF:
-        raise ValueError("a shard has more distinct words than code points")
-    text = _letters(number)
-    automaton = ahocorasick.Automaton()
-    for t, s in enumerate(spans):
-        if s is not None:
-            for a, b in s.reshape(-1, 2) + words.first[t]:
-                passage = text[a:b]
-                automaton.add_word(passage, len(passage))
+    open_ = runs.groupBy("v").agg(F.sum("n").alias("n"), F.bool_and(F.col("total") > 1).alias("settled")).where("n > 1 AND NOT settled").select("v")
+    single = _counted(_windows(documents, window, anchor, Known(open_, "v", most), Known(runs.where("total = 1"), "h", most)))
+    found = runs.unionByName(single).where("total > 1 AND key IS NOT NULL")
+    return found.select("shard", "key", "place", (F.col("n") == 1).alias("alone"))
+
+
+#: Code points that a word number may take: all but surrogates, and but 0, which ends a text.
+LETTERS = 0x10F7FF
+
+
+def _letters(numbers: np.ndarray, wide: bool) -> str:
+    """Word numbers (0: the end of a text) as code points, two each where one isn't enough."""
+    x = np.column_stack([numbers >> 20, numbers & 0xFFFFF]).ravel() if wide else numbers
+    return np.where(x < 0xD800, x, x + 0x800).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def occurrences(texts: list[np.ndarray], passages: list[np.ndarray], most: int = LETTERS) -> list[np.ndarray]:
+    """For each text (word hashes), whether each word lies in an occurrence of a passage (word hashes): the
+    texts are streamed through one automaton of the distinct passages. ``most``: word numbers that one code point holds."""
+    size = np.array([len(t) for t in texts], np.int64)
+    if not passages or not size.sum():
+        return [np.zeros(n, bool) for n in size]
+    every, number = np.unique(np.concatenate([*texts, *passages]), return_inverse=True)
+    number, wide = number + 1, len(every) > most
+    width = 1 + wide
+    begin = np.cumsum(size + 1) - size - 1
+    stream = np.zeros(size.sum() + len(size), np.int64)
+    stream[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = number[: size.sum()]
+    automaton, at = ahocorasick.Automaton(), int(size.sum())
+    coded = _letters(number[at:], wide)
+    at = 0
+    for p in passages:
+        automaton.add_word(coded[at * width : (at + len(p)) * width], len(p))
+        at += len(p)
     automaton.make_automaton()
-    step = np.zeros(len(gone) + 1, np.int32)
-    for t in range(len(spans)):
-        first, last = int(words.first[t]), int(words.first[t + 1])
-        for end, size in automaton.iter(text[first:last]):
-            step[first + end + 1 - size] += 1
-            step[first + end + 1] -= 1
-    return np.cumsum(step[:-1]) > 0
-
-
-def scan(joined: DataFrame, columns: list[str], finish, schema: str, fields: list[str]) -> DataFrame:
-    """Streams documents with their passages, shard by shard, through the shard's automaton;
-    ``finish(raw text, word starts, word ends, gone)`` makes the result's further columns."""
+    found = np.array(list(automaton.iter(_letters(stream, wide))), np.int64).reshape(-1, 2)
+    if wide:  # a match begins and ends at whole words
+        found = found[found[:, 0] % 2 == 1]
+    end = (found[:, 0] + 1) // width
+    step = np.bincount(end - found[:, 1], minlength=len(stream) + 1) - np.bincount(end, minlength=len(stream) + 1)
+    gone = np.cumsum(step[:-1]) > 0
+    return [gone[a : a + n] for a, n in zip(begin, size)]
+
+
+def _united(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
+    """Overlapping spans as one."""
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], stop[order]
+    reach = np.maximum.accumulate(stop)
+    cut = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(start) else np.zeros(0, np.int64)
+    return list(zip(start[cut].tolist(), reach[np.append(cut[1:], len(start)) - 1].tolist() if len(cut) else []))
+
+
+class _Shard:
+    """Streams one shard: rows ordered by key, a document's places before it."""
+
+    def __init__(self, limit: int):
+        self.limit, self.shard, self.parts, self.bytes, self.passages = limit, None, [], 0, []
+
+    def feed(self, shard: int, rows: pa.RecordBatch):
+        if shard != self.shard:
+            yield from self.finish()
+            self.shard, self.passages = shard, []
+        self.parts.append(rows)
+        self.bytes += rows.nbytes
+        if self.bytes > self.limit:
+            table = pa.Table.from_batches(self.parts).combine_chunks().to_batches()[0]
+            is_text = np.flatnonzero(table.column("is_text").to_numpy(zero_copy_only=False))
+            if len(is_text):  # places at the end wait for their document
+                stop = int(is_text[-1]) + 1
+                self.parts = [table.slice(0, stop)]
+                rest = table.slice(stop)
+                yield from self.finish()
+                self.parts, self.bytes = ([rest], rest.nbytes) if rest.num_rows else ([], 0)
+
+    def finish(self):
+        """(documents' rows, their words by chunk, what goes) of the rows so far."""
+        parts, self.parts, self.bytes = self.parts, [], 0
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        is_text = rows.column("is_text").to_numpy(zero_copy_only=False).astype(bool)
+        places, docs = rows.filter(pa.array(~is_text)), rows.filter(pa.array(is_text))
+        cut = list(chunks(docs, "text", 1 << 20))
+        hashes = [words.hashes() for _, words, _ in cut]
+        texts = [h[words.first[t] : words.first[t + 1]] for h, (_, words, _) in zip(hashes, cut) for t in range(len(words.first) - 1)]
+        keys = docs.column("key").to_numpy(zero_copy_only=False)
+        key, place, alone = (places.column(c).to_numpy(zero_copy_only=False) for c in ("key", "place", "alone"))
+        own, alone = np.searchsorted(keys, key), alone.astype(bool)
+        start, size = place >> SPAN, place & ((1 << SPAN) - 1)
+        kept = [texts[d][a : a + n] for d, a, n in zip(own[~alone], start[~alone], size[~alone])]
+        single = []
+        for d in np.unique(own[alone]):
+            here = alone & (own == d) if len(own) < 64 else np.flatnonzero(alone)[np.searchsorted(own[alone], d) : np.searchsorted(own[alone], d, "right")]
+            single += [texts[d][a:b] for a, b in _united(start[here], start[here] + size[here])]
+        self.passages += kept
+        gone = occurrences(texts, self.passages + single)
+        at = 0
+        for part, words, valid in cut:
+            n = part.num_rows
+            yield part, words, valid, gone[at : at + n]
+            at += n
+
+
+def scan(documents: DataFrame, passages: DataFrame, columns: list[str], finish, schema: str, fields: list[str], limit: int = 1 << 24) -> DataFrame:
+    """Streams documents (shard, key, text, ``columns``) through the automata of their shards, parts of up to
+    ``limit`` bytes at a time; ``finish(raw text, word starts, word ends, gone)`` makes the result's further columns."""
+
+    def made(part, words, valid, gone):
+        rows = []
+        for t in range(part.num_rows):
+            a, b = words.first[t], words.first[t + 1]
+            lo, hi = words.offsets[t], words.offsets[t + 1]
+            rows.append(finish(words.data[lo:hi] if valid[t] else None, words.start[a:b] - lo, words.end[a:b] - lo, gone[t]))
+        new = pa.Table.from_pylist([dict(zip(fields, r)) for r in rows], schema=_arrow(fields)).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *new.columns], [*columns, *fields])
 
     def run(batches):
+        stream = _Shard(limit)
         for batch in batches:
-            for part, words, valid in chunks(batch, "text", 1 << 20):
-                listed = part.column("spans")
-                spans = [None if x is None else np.array(x, np.int64) for x in listed.to_pylist()]
-                gone = occurrences(words, spans)
-                rows = []
-                for t in range(part.num_rows):
-                    a, b = words.first[t], words.first[t + 1]
-                    lo, hi = words.offsets[t], words.offsets[t + 1]
-                    rows.append(finish(words.data[lo:hi] if valid[t] else None, words.start[a:b] - lo, words.end[a:b] - lo, gone[a:b]))
-                made = pa.Table.from_pylist([dict(zip(fields, r)) for r in rows], schema=_arrow(fields)).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *made.columns], [*columns, *fields])
+            shard = batch.column("shard").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    for done in stream.feed(int(shard[a]), batch.slice(a, b - a)):
+                        yield made(*done)
+        for done in stream.finish():
+            yield made(*done)
 
-    return joined.select("text", "spans", *columns).mapInArrow(run, schema)
+    texts = documents.select("shard", "key", F.lit(True).alias("is_text"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("boolean").alias("alone"), "text", *columns)
+    kinds = dict(documents.dtypes)
+    places = passages.select("shard", "key", F.lit(False).alias("is_text"), "place", "alone", F.lit(None).cast("string").alias("text"), *[F.lit(None).cast(documents.schema[c].dataType).alias(c) for c in columns if c in kinds])
+    return texts.union(places).repartition("shard").sortWithinPartitions("shard", "key", "is_text").mapInArrow(run, schema)
 
 
 def _arrow(fields: list[str]) -> pa.Schema:
@@ -259,9 +310,11 @@ def _arrow(fields: list[str]) -> pa.Schema:
     return pa.schema([(f, kinds[f]) for f in fields])
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """Row key: a hash of id and text (rows that agree in both have the same passages)."""
-    return documents.withColumn("key", F.xxhash64("doc_id", "text"))
+def keyed(documents: DataFrame, shard_bytes: int = 1 << 22) -> DataFrame:
+    """Adds key, a hash of id and text (rows that agree in both have the same passages), and shard, another."""
+    total = documents.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    shards = int(min(total // shard_bytes + 1, 1 << 30))
+    return documents.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(shards)).cast("int"))
 
 
 def _digest(data, start, end, gone):
@@ -286,13 +339,14 @@ def _cut(data, start, end, gone):
     return (data[stay].tobytes().decode().strip(" "),)
 
 
-def remove(documents: DataFrame, window: int = 50, anchor: int = 8, bits: int = 27) -> DataFrame:
+def remove(documents: DataFrame, window: int = 50, anchor: int = 8, most: int = 27, shard_bytes: int = 1 << 22) -> DataFrame:
     """The documents (all columns and rows) with recurring passages cut out of the text.
-    ``n_chars``, where there is one, follows the new text."""
+    ``n_chars``, where there is one, follows the new text. ``most``: see ``Known``."""
     names = documents.columns
-    packed = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("doc"))
+    packed = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("doc"))
+    packed = keyed(packed, shard_bytes).drop("doc_id")
     kind = packed.schema["doc"].dataType.simpleString()
-    out = scan(locate(packed, window, anchor, bits), ["doc"], _cut, f"doc {kind}, kept string", ["kept"])
+    out = scan(packed, recurring(packed, window, anchor, most), ["doc"], _cut, f"doc {kind}, kept string", ["kept"])
 
     def column(c):
         if c == "text":
@@ -304,7 +358,11 @@ def remove(documents: DataFrame, window: int = 50, anchor: int = 8, bits: int =
     return out.select(*[column(c) for c in names])
 
 
+def digests(documents: DataFrame, window: int, anchor: int = 8, most: int = 27, shard_bytes: int = 1 << 22, limit: int = 1 << 24) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256."""
+    rows = keyed(documents.select(F.col("doc_id").cast("long"), "text"), shard_bytes)
+    return scan(rows, recurring(rows, window, anchor, most), ["doc_id"], _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", ["n_words", "n_removed", "kept_sha256"], limit)
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    fields = ["n_words", "n_removed", "kept_sha256"]
-    return scan(locate(documents, 35), ["doc_id"], _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", fields)
+    return digests(table(spark, sf_dir, "documents"), 35)

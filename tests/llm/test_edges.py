@@ -223,9 +223,9 @@ def test_prefix_signatures_share_one_for_every_linked_pair():
         assert len(np.intersect1d(a, b))
 
 
-def test_substrings(docs, none):
-    frame = substrings.keyed(docs.select("doc_id", "text"))
-    got = substrings.scan(substrings.locate(frame, 35), ["doc_id"], substrings._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", ["n_words", "n_removed", "kept_sha256"]).toPandas()
+@pytest.mark.parametrize("how", [{}, {"shard_bytes": 1 << 40}, {"shard_bytes": 4000, "most": 3, "limit": 5000}])
+def test_substrings(docs, none, how):
+    got = substrings.digests(docs, 35, **how).toPandas()
     all_ = [words(t) for _, t, *_ in corpus()]
     count = collections.Counter(tuple(w[k : k + 35]) for w in all_ for k in range(len(w) - 34))
     want = collections.Counter()
@@ -237,15 +237,43 @@ def test_substrings(docs, none):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want[(d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
     assert collections.Counter((None if pd.isna(a) else int(a), b, c, h) for a, b, c, h in got.itertuples(index=False)) == want
+    assert substrings.digests(none, 35, **how).count() == 0
+
+
+def test_substrings_are_cut(docs, none):
     cut = substrings.remove(docs, window=35)
     assert cut.columns == docs.columns and cut.count() == len(corpus()) and substrings.remove(none).count() == 0
     by = {r.doc_id: r for r in cut.collect()}
     assert by[0].text == "" and by[3].text is None and by[6].text == "one" and by[14].text == corpus()[14][1] and by[10].n_chars == len(by[10].text) < corpus()[10][4]
 
 
-def test_substrings_with_a_crowded_bitmap(docs):
-    wide, narrow = (substrings.remove(docs, window=35, bits=b).select("doc_id", "text") for b in (20, 3))
-    assert wide.exceptAll(narrow).count() == 0
+def test_substrings_of_random_overlaps(spark):
+    """Few words, so that windows recur in all ways, within one document too; shards of several sizes."""
+    rng = np.random.Generator(np.random.PCG64(13))
+    pieces = [[str(x) for x in rng.integers(0, 3, 9)] for _ in range(12)]
+    texts = [[w for i in rng.integers(0, 12, int(rng.integers(0, 9))) for w in pieces[i]] for _ in range(60)] + [["a"] * 40, ["a"] * 7 + ["b"]]
+    count = collections.Counter(tuple(w[k : k + 12]) for w in texts for k in range(len(w) - 11))
+    want = {}
+    for d, w in enumerate(texts):
+        want[d] = len({k + j for k in range(len(w) - 11) if count[tuple(w[k : k + 12])] > 1 for j in range(12)})
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    for size in (100, 2000, 1 << 30):
+        got = substrings.digests(frame, 12, anchor=4, shard_bytes=size, limit=500)
+        assert {r.doc_id: r.n_removed for r in got.collect()} == want and 0 < sum(want.values()) < sum(map(len, texts))
+
+
+def test_only_the_automata_know_the_places(spark):
+    """In one shard a passage leaves the confirmation with one place, whatever the number of its occurrences."""
+    passage = prose(50)
+    rows = [(i, " ".join([*prose(int(RNG.integers(5, 60))), *passage, *prose(20)])) for i in range(40)]
+    frame = substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string"), 1 << 30)
+    passages = substrings.recurring(frame, 35, 8, 27).toPandas()
+    assert passages.key.nunique() < 20 and not passages.alone.any()
+    got = substrings.digests(frame, 35, shard_bytes=1 << 30).toPandas()
+    assert (got.n_removed >= 50).all() and len(got) == 40
+    hashes = [np.arange(10, 20, dtype=np.uint64), np.arange(12, 40, dtype=np.uint64)]
+    for most in (1 << 20, 3):  # one code point a word, and two
+        assert [g.sum() for g in substrings.occurrences(hashes, [hashes[0][3:8]], most)] == [5, 5]
 
 
 def test_packing(docs, none):
