@@ -22,8 +22,8 @@ link between components is lost while copies of one text are never expanded into
 
 Defined cases: null, empty and word-less texts have an empty set and link with nothing; fewer than
 ``k`` words are one shingle; repeated rows are equal sets; rows that share a doc_id are one node;
-a null doc_id takes part, but names no component unless nothing else does; an empty table gives an
-empty result; other columns are ignored by ``join_components`` and kept by ``keep_one``."""
+rows without a doc_id take part (those of one text are one node), but name no component; doc_ids
+are under 2**62; an empty table gives an empty result; other columns are ignored by ``join_components`` and kept by ``keep_one``."""
 
 from __future__ import annotations
 
@@ -34,10 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bitmap_of, checkpoint, components, in_bitmap, table
+from gridloom.llm.common import Known, checkpoint, components, table
 from gridloom.llm.textkit import LOWER_BYTE, chunks, mix, powers, windows, Q
 
 
+#: Rows without an id get one at or over this, from their text.
+NAMELESS = 1 << 62
+
+
+def with_ids(documents: DataFrame) -> DataFrame:
+    own = F.xxhash64("text").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text")
+
+
+def named(column: str):
+    """An id, or null for rows that had none."""
+    return F.when(F.col(column) < NAMELESS, F.col(column))
+
+
 def token_sets(words, k: int):
     """The sorted distinct tokens of each text of a chunk."""
     h = words.hashes(LOWER_BYTE)
@@ -184,11 +198,11 @@ def profiles(documents: DataFrame, k: int, threshold: float, frequent: np.ndarra
                     ["doc_id", "n", "f", "g", "signatures", "sketch", "priority"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f long, g long, signatures binary, sketch binary, priority long")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f long, g long, signatures binary, sketch binary, priority long")
 
 
-def unpacked(index: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(s, rep, priority): a row per signature, without those that a bitmap of signatures lacks."""
+def unpacked(index: DataFrame, known: Known | None) -> DataFrame:
+    """(s, rep, priority): a row per signature, of those in ``known`` where there is one."""
 
     def run(batches):
         for batch in batches:
@@ -197,33 +211,34 @@ def unpacked(index: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                 values = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("signatures")]
                 size = [len(v) for v in values]
                 s = np.concatenate(values) if values else np.zeros(0, np.uint64)
-                keep = np.ones(len(s), bool) if wanted is None else in_bitmap(wanted, s)
+                keep = np.ones(len(s), bool) if known is None else known.holds(s)
                 owner = np.repeat(np.arange(part.num_rows), size)[keep]
                 columns = [part.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("rep", "priority")]
                 yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), *map(pa.array, columns)], ["s", "rep", "priority"])
 
-    return index.select("rep", "priority", "signatures").mapInArrow(run, "s long, rep long, priority long")
+    rows = index.select("rep", "priority", "signatures").mapInArrow(run, "s long, rep long, priority long")
+    return rows if known is None else known.sift(rows, "s")
 
 
-def sets_of(documents: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, tokens) of the documents whose id may be in a bitmap of ids."""
+def sets_of(documents: DataFrame, k: int, wanted: Known) -> DataFrame:
+    """(doc_id, tokens) of the documents whose id may be wanted."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            batch = batch.filter(pa.array(in_bitmap(wanted, ids)))
+            batch = batch.filter(pa.array(wanted.holds(ids)))
             for part, words, _ in chunks(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in token_sets(words, k)], pa.binary())], ["doc_id", "tokens"])
 
-    ids = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
-    return ids.mapInArrow(run, "doc_id long, tokens binary")
+    ids = documents.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    return wanted.sift(ids, "h").mapInArrow(run, "doc_id long, tokens binary")
 
 
-def verified(pairs: DataFrame, index: DataFrame, documents: DataFrame, k: int, threshold: float, bits: int = 24) -> DataFrame:
+def verified(pairs: DataFrame, index: DataFrame, documents: DataFrame, k: int, threshold: float, repeats: bool, most: int) -> DataFrame:
     """The pairs (a, b) whose sets have at least ``threshold`` of their union in common.
 
     Sketches rule out nearly all others before any set is fetched; the sets of the rest are computed
-    again from the texts of those documents."""
+    again from the texts of those documents (once an id and set, where ids repeat)."""
     num = round(threshold * 100)
 
     def likely(batches):
@@ -244,8 +259,9 @@ def verified(pairs: DataFrame, index: DataFrame, documents: DataFrame, k: int, t
     short = index.select("rep", "sketch", "priority")
     sketched = pairs.join(short.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("priority").alias("n")), "a").join(short.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("priority").alias("m")), "b")
     likely_pairs = checkpoint(sketched.select("a", "b", "x", "y", "n", "m").mapInArrow(likely, "a long, b long").distinct())
-    wanted = bitmap_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(F.xxhash64("doc_id").alias("h")), "h", bits)
-    sets = checkpoint(sets_of(documents, k, wanted))
+    wanted = Known(likely_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(F.xxhash64("doc_id").alias("h")).distinct(), "h", most)
+    sets = sets_of(documents, k, wanted)
+    sets = checkpoint(sets.distinct() if repeats else sets)
     both = likely_pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
@@ -258,18 +274,28 @@ def fold(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
+def with_hot(rows: DataFrame, leads: DataFrame, hot: int, how: str = "left", most: int = 100_000) -> DataFrame:
+    """Rows (lead, ...) joined with a checkpointed table (lead, n, ...) of one row a leader. Leaders with over ``hot``
+    rows are sent to all tasks, so that no task gets all rows of one (``most`` of them at most: no more
+    than that, the largest ones, are broadcast)."""
+    few = leads.where(F.col("n") > hot).orderBy(F.desc("n"), "lead").limit(most).select("lead").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(few), "lead", "left")
+    large = marked.where("_hot").drop("_hot").join(F.broadcast(leads.join(F.broadcast(few), "lead", "left_semi")), "lead", how)
+    return large.unionByName(marked.where("_hot IS NULL").drop("_hot").join(leads, "lead", how))
+
+
 def cross_pairs(members: DataFrame, group: DataFrame, index: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     """Pairs (a, b) that meet under one leader, stand in different components, and that sketches allow.
 
     Whatever shares a bucket shares its leader. Members outside their leader's component are queries
     against all its members, in tasks of ``block`` of each; only pairs that pass leave a task. A
     leader whose members are all in its component makes no work."""
-    named = members.join(group.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    named = named.join(group.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left")
-    named = checkpoint(named.select("lead", "rep", F.coalesce("c", "rep").alias("c"), (F.coalesce("c", "rep") != F.coalesce("lead_c", "lead")).alias("odd")))
-    loads = named.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("odd").cast("long")).alias("q")).where("q > 0 AND n > 1")
-    loads = loads.select("lead", F.ceil(F.col("q") / block).cast("int").alias("qs"), F.ceil(F.col("n") / block).cast("int").alias("ds"))
-    rows = named.join(loads, "lead").join(index.select("rep", "sketch", "priority"), "rep")
+    own = members.join(group.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").select("lead", "rep", F.coalesce("c", "rep").alias("c"))
+    leads = checkpoint(members.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).join(group.select(F.col("node").alias("lead"), F.col("component").alias("lead_c")), "lead", "left").select("lead", "n", F.coalesce("lead_c", "lead").alias("lead_c")))
+    own = checkpoint(with_hot(own, leads, block).select("lead", "rep", "c", (F.col("c") != F.col("lead_c")).alias("odd")))
+    loads = own.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("odd").cast("long")).alias("q")).where("q > 0 AND n > 1")
+    loads = checkpoint(loads.select("lead", "n", F.ceil(F.col("q") / block).cast("int").alias("qs"), F.ceil(F.col("n") / block).cast("int").alias("ds")))
+    rows = with_hot(own, loads, block, "inner").join(index.select("rep", "sketch", "priority"), "rep")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), "qs").cast("int")).withColumn("j", F.pmod(F.xxhash64("rep"), "ds").cast("int"))
 
     def role(i, j, query: bool):
@@ -311,51 +337,55 @@ def cross_pairs(members: DataFrame, group: DataFrame, index: DataFrame, threshol
 ROLES = "array<struct<i:int,j:int,query:boolean>>"
 
 
-def indexed(documents: DataFrame, k: int, threshold: float, floor: int, entries: int, bits: int):
-    """Profiles of all documents, classes of equal sets, the representatives' profiles, and (s, rep, priority)
-    of their signatures."""
+def indexed(documents: DataFrame, k: int, threshold: float, floor: int, entries: int, most: int):
+    """Of documents with ids: (doc_id, n, rep) of all (rep null: no set), the representatives' profiles,
+    (s, rep, priority) of their signatures, links between representatives of rows that share an id, and whether ids repeat."""
     frequent, _ = frequent_tokens(documents, k, floor, entries)
-    made = checkpoint(profiles(documents, k, threshold, frequent))
-    classes = checkpoint(made.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")))
-    named = classes.where(F.col("rep").isNotNull() & ~equal_only(F.col("n"), threshold)).select(F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), "rep")
-    first_row = (F.col("n") == F.col("n2")) & (F.col("f") == F.col("f2")) & (F.col("g") == F.col("g2")) & (F.col("doc_id") == F.col("rep"))
-    index = checkpoint(made.join(named, first_row).select("rep", "priority", "signatures", "sketch"))
+    # The tag names a row of the checkpoint; a class of equal sets is indexed by its first row's profile.
+    made = checkpoint(profiles(documents, k, threshold, frequent).withColumn("tag", F.monotonically_increasing_id()))
+    classes = checkpoint(made.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("tag")))
+    first = classes.where(~equal_only(F.col("n"), threshold)).select("tag", "rep")
+    index = checkpoint(made.select("tag", "priority", "signatures", "sketch").join(first, "tag").select("rep", "priority", "signatures", "sketch"))
+    members = checkpoint(made.select("doc_id", "n", "f", "g").join(classes.drop("tag"), ["n", "f", "g"], "left").select("doc_id", "n", "rep"))
+    ids = checkpoint(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("times > 1"))
+    same = members.join(ids.where("low <> high").select("doc_id"), "doc_id", "left_semi").where("rep IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     # Most signatures are one document's alone: only their counts are shuffled, a bitmap takes them out,
     # and what it lets through by chance goes with the exact counts below.
     shared = unpacked(index, None).groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return made, classes, index, checkpoint(unpacked(index, bitmap_of(shared, "s", bits)))
+    return members, index, checkpoint(unpacked(index, Known(shared, "s", most))), same, not ids.isEmpty()
 
 
-def join_pairs(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, bits: int = 27) -> tuple[DataFrame, DataFrame]:
+def join_pairs(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, most: int = 27) -> tuple[DataFrame, DataFrame]:
     """The whole join: (a, b), every linked pair of representatives with a < b, and (doc_id, rep), the
-    membership of all documents with a set. Documents of one representative link by equal sets.
+    membership of all documents with a set. Documents of one representative link by equal sets. Rows without an id
+    have those of ``with_ids``.
 
     Unlike components, the pairs of a group grow with its square."""
-    made, classes, index, rows = indexed(documents, k, threshold, floor, entries, bits)
+    documents = with_ids(documents)
+    members, index, rows, _, repeats = indexed(documents, k, threshold, floor, entries, most)
     size = F.col("priority").bitwiseAND(F.lit(0xFFFFFFFF))
     one, two = rows.select("s", F.col("rep").alias("a"), size.alias("n")), rows.select("s", F.col("rep").alias("b"), size.alias("m"))
     fits = F.least("n", "m") >= F.lit(threshold - 1e-9) * F.greatest("n", "m")
     pairs = checkpoint(one.join(two, "s").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct())
-    members = made.join(classes, ["n", "f", "g"]).select("doc_id", "rep")
-    return verified(pairs, index, documents, k, threshold), members
+    return verified(pairs, index, documents, k, threshold, repeats, most), members.where("rep IS NOT NULL").select("doc_id", "rep")
 
 
-def join_components(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, bits: int = 27) -> DataFrame:
+def join_components(documents: DataFrame, k: int, threshold: float, floor: int = 12, entries: int = 1 << 17, most: int = 27) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    made, classes, index, rows = indexed(documents, k, threshold, floor, entries, bits)
+    documents = with_ids(documents)
+    all_, index, rows, same, repeats = indexed(documents, k, threshold, floor, entries, most)
     leaders = rows.groupBy("s").agg(F.min_by("rep", "priority").alias("lead"), F.min("priority").alias("lead_priority"), F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("s", "s2")
     size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     buckets = rows.join(leaders, F.col("s") == F.col("s2")).where("rep <> lead")
     members = checkpoint(buckets.select("lead", "rep", size("priority").alias("n"), size("lead_priority").alias("lead_n")).distinct())
     fits = F.least("n", "lead_n") >= F.lit(threshold - 1e-9) * F.greatest("n", "lead_n")
     first = checkpoint(members.where(fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
-    links = checkpoint(verified(first, index, documents, k, threshold))
+    links = checkpoint(verified(first, index, documents, k, threshold, repeats, most).union(same))
     second = checkpoint(cross_pairs(members.select("lead", "rep"), components(links), index, threshold).join(first, ["a", "b"], "left_anti"))
-    more = verified(second, index, documents, k, threshold)
+    more = verified(second, index, documents, k, threshold, repeats, most)
     group = components(links.unionByName(more))
-    reps = classes.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("g").alias("g2"), F.coalesce("component", "rep").alias("component_id"))
-    out = made.select("doc_id", "n", "f", "g").join(reps, (F.col("n") == F.col("n2")) & (F.col("f") == F.col("f2")) & (F.col("g") == F.col("g2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = all_.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return out.select(named("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("component_id", named("component_id"))
 
 
 def keep_one(documents: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -193,12 +193,25 @@ def test_jaccard_groups_and_frequent_tokens(spark):
     assert collections.Counter(zip(got.doc_id, got.n_shingles, got.component_id)) == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("most", [27, 3])
+def test_jaccard_without_ids_and_with_shared_ids(spark, most):
+    """A chain through rows without an id, equal rows without one, and an id with several texts."""
+    a = prose(40)
+    b, c = [*a[:-1], "x1"], [*a[1:-1], "x1"]  # a and c are linked through b alone
+    d, e = prose(40), prose(40)
+    texts = [(1, a), (None, b), (None, b), (2, c), (None, d), (None, [*d[:-1], "x2"]), (5, prose(30)), (3, e), (5, e), (5, [*a[:-1], "x3"])]
+    rows = [(i, " ".join(t)) for i, t in texts] + [(None, None), (None, "")]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.85, most=most).toPandas()
+    have = collections.Counter((None if pd.isna(x) else int(x), int(n), None if pd.isna(y) else int(y)) for x, n, y in got.itertuples(index=False))
+    assert have == brute_components(rows, 4, 85) and have[(2, 36, 1)] == have[(5, 27, 1)] == 1
+
+
 def test_jaccard_pairs(spark):
     """All links, those between two members of one component that aren't their leader's too."""
     rng = np.random.Generator(np.random.PCG64(11))
     hub = prose(120)
     rows = [(i, " ".join(w if rng.random() > 0.012 else f"y{i}" for w in hub)) for i in range(40)]
-    rows += [(40 + i, rows[i][1]) for i in range(5)] + [(50 + i, " ".join(hub[:60] + prose(60))) for i in range(5)] + [(60, None), (None, rows[0][1])]
+    rows += [(40 + i, rows[i][1]) for i in range(5)] + [(50 + i, " ".join(hub[:60] + prose(60))) for i in range(5)] + [(60, None)]
     pairs, members = jaccard.join_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.85, floor=6)
     rep = dict((r.doc_id, r.rep) for r in members.collect())
     sets = {d: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for d, t in rows if t}
