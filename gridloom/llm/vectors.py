@@ -8,7 +8,7 @@ probability p; the count that such a pair reaches except with probability ``miss
 tail) is the calibrated count. Pairs that pass it are verified by their cosine.
 
 Work is cut along one more direction into tiles as wide as a window of ``tile_width`` deviations:
-a query meets its own tile and the next. Tiles of more than ``block`` vectors are cut into blocks,
+a query meets its own tile and the next. Tiles of more than ``block_bytes`` of vectors are cut into blocks,
 and pairs of blocks are tasks of bounded memory; a task emits sums of links by vector and a spanning
 forest of its links, never the pairs.
 
@@ -49,38 +49,38 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).standard_normal((n, dim)) / math.sqrt(dim)
 
 
-def collisions(query: np.ndarray, data: np.ndarray, half: float) -> np.ndarray:
+def collisions(query: np.ndarray, data: np.ndarray, half: float, order: np.ndarray | None = None) -> np.ndarray:
     """Counts (queries x data) of projections in which a data value lies in the query's window.
 
-    ``query`` and ``data``: projections x vectors."""
+    ``query`` and ``data``: projections x vectors; ``order``: the data's ranks by projection, where known."""
     count = np.zeros((query.shape[1], data.shape[1]), np.uint8)
-    for q, d in zip(query, data):
-        order = np.argsort(d, kind="stable")
-        values = d[order]
+    for q, d, rank in zip(query, data, np.argsort(data, axis=1, kind="stable") if order is None else order):
+        values = d[rank]
         low, high = np.searchsorted(values, q - half, "left"), np.searchsorted(values, q + half, "right")
         for row, a, b in zip(count, low.tolist(), high.tolist()):
-            row[order[a:b]] += 1
+            row[rank[a:b]] += 1
     return count
 
 
 def _unit(classes: DataFrame, threshold: float, tile_width: float, seed: int) -> DataFrame:
+    """Unit vectors (label, dim, rep, mult, tile, unit) of sound ones."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for label, rep, mult, e in zip(*(batch.column(c).to_pylist() for c in ("label", "rep", "mult", "embedding"))):
-                if not e or any(x is None for x in e):
-                    continue
-                v = np.array(e, np.float64)
-                size = float(np.abs(v).max())
-                if not math.isfinite(size) or size == 0:
-                    continue
-                v = v / size
-                v /= math.sqrt(float(v @ v))
-                at = float(directions(len(v), 1, seed)[0] @ v)
-                for column, x in zip(out, (label, len(v), rep, mult, math.floor(at / (tile_width * deviation(threshold, len(v)))), v.tobytes())):
-                    column.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["label", "dim", "rep", "mult", "tile", "unit"])
+            e = batch.column("embedding")
+            size, values = np.diff(e.offsets.to_numpy()), e.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            begin = np.cumsum(size) - size
+            for dim in np.unique(size):
+                rows = np.flatnonzero(size == dim)
+                v = values[begin[rows][:, None] + np.arange(dim)]
+                v = v / np.abs(v).max(axis=1, keepdims=True)  # no square overflows
+                v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+                at = v @ directions(int(dim), 1, seed)[0]
+                tile = np.floor(at / (tile_width * deviation(threshold, int(dim)))).astype(np.int32)
+                own = [batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("label", "rep", "mult")]
+                columns = (own[0], np.full(len(rows), dim), own[1], own[2], tile, [x.tobytes() for x in v])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["label", "dim", "rep", "mult", "tile", "unit"])
 
     return classes.select("label", "rep", "mult", "embedding").mapInArrow(run, "label long, dim int, rep long, mult long, tile int, unit binary")
 
@@ -102,11 +102,11 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def links(vectors: DataFrame, threshold: float, projections: int = 40, width: float = 1.5, miss: float = 1e-6, tile_width: float = 5.0, block: int = 2048, seed: int = 11) -> DataFrame:
+def links(vectors: DataFrame, threshold: float, projections: int = 40, width: float = 1.5, miss: float = 1e-6, tile_width: float = 5.0, block_bytes: int = 1 << 23, queries: int = 512, seed: int = 11) -> DataFrame:
     """Of vectors (label, rep, mult, embedding): rows (a, b, w): b null and w the number of
     vectors that a is linked with in one task, or a link (a, b) of a spanning forest."""
     rows = checkpoint(_unit(vectors, threshold, tile_width, seed))
-    counts = rows.groupBy("label", "dim", "tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    counts = rows.groupBy("label", "dim", "tile").agg(F.ceil(F.count(F.lit(1)) * F.col("dim") * 8 / F.lit(block_bytes)).cast("int").alias("blocks"))
     around = {
         name: counts.select(F.col("label").alias(f"{name}_l"), F.col("dim").alias(f"{name}_d"), (F.col("tile") + shift).alias(f"{name}_t"), F.col("blocks").alias(name))
         for name, shift in (("own", 0), ("next", -1), ("prior", 1))
@@ -142,13 +142,19 @@ def links(vectors: DataFrame, threshold: float, projections: int = 40, width: fl
         qi = np.flatnonzero(q)
         di = qi if within else np.flatnonzero(~q)
         at = directions(dim, projections, seed + 1) @ unit.T
-        count = collisions(at[:, qi], at[:, di], width * deviation(threshold, dim))
-        if within:
-            count = np.triu(count, 1)
-        x, y = np.nonzero(count >= max(1, calibrated(projections, width, miss)))
-        x, y = qi[x], di[y]
-        good = np.concatenate([np.einsum("ij,ij->i", unit[x[k : k + 65536]], unit[y[k : k + 65536]]) >= threshold for k in range(0, len(x), 65536)]) if len(x) else np.zeros(0, bool)
-        x, y = x[good], y[good]
+        least, half, order = max(1, calibrated(projections, width, miss)), width * deviation(threshold, dim), np.argsort(at[:, di], axis=1, kind="stable")
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(0, len(qi), queries):
+            part = qi[k : k + queries]
+            i, j = np.nonzero(collisions(at[:, part], at[:, di], half, order) >= least)
+            if within:
+                i, j = i[j > i + k], j[j > i + k]
+            i, j = part[i], di[j]
+            for m in range(0, len(i), 1 << 15):
+                a, b = i[m : m + (1 << 15)], j[m : m + (1 << 15)]
+                good = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+                found.append((a[good], b[good]))
+        x, y = (np.concatenate(c) for c in zip(*found))
         sums = np.bincount(x, mult[y], len(q)) + np.bincount(y, mult[x], len(q))
         linked = np.flatnonzero(sums)
         forest = np.array(_forest(len(q), np.column_stack([x, y])), np.int64).reshape(-1, 2)
@@ -163,21 +169,22 @@ def links(vectors: DataFrame, threshold: float, projections: int = 40, width: fl
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, **how) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    rows = rows.withColumn("h", F.xxhash64("embedding")).withColumn("g", F.xxhash64(F.lit(1), "embedding"))
-    sound = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0")
-    classes = checkpoint(sound.groupBy("label", "h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding")))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    # Only sound vectors are hashed: a hash of an array passes over its nulls.
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite, F.lit(False))
+    rows = rows.withColumn("h", F.when(sound, F.xxhash64("embedding"))).withColumn("g", F.when(sound, F.xxhash64(F.lit(1), "embedding")))
+    classes = checkpoint(rows.where("h IS NOT NULL").groupBy("label", "h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding")))
     found = checkpoint(links(classes, threshold, **how))
     sums = found.where("b IS NULL").groupBy("a").agg(F.sum("w").alias("w"))
     group = components(found.where("b IS NOT NULL").select("a", "b"))
-    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    named = (
-        classes.select(F.col("label").alias("l2"), F.col("h").alias("h2"), F.col("g").alias("g2"), "rep", "mult", finite.alias("fine"))
+    of_class = (
+        classes.select(F.col("label").alias("l2"), F.col("h").alias("h2"), F.col("g").alias("g2"), "rep", "mult")
         .join(sums, F.col("rep") == F.col("a"), "left")
         .join(group, F.col("rep") == F.col("node"), "left")
-        .select("l2", "h2", "g2", "rep", "fine", F.when(F.col("fine"), F.coalesce("w", F.lit(0)) + F.col("mult") - 1).otherwise(0).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("c"))
+        .select("l2", "h2", "g2", (F.coalesce("w", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("c"))
     )
-    out = rows.join(named, (F.col("label") == F.col("l2")) & (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")) & F.col("vec_id").isNotNull(), "left")
-    component = F.when(F.col("fine"), F.col("c")).otherwise(F.col("vec_id"))
+    out = rows.join(of_class, (F.col("label") == F.col("l2")) & (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
+    component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -401,8 +401,9 @@ def test_vectors(spark):
     vs = [base[i // 5] + rng.standard_normal(16) * rng.choice([0.0, 0.05, 0.12]) for i in range(300)]
     rows = [(i, v.tolist(), i % 3) for i, v in enumerate(vs)]
     rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, [None, *[1.0] * 15], 0), (304, vs[0].tolist(), None), (None, vs[0].tolist(), 0), (305, [], 0), (306, vs[0][:8].tolist(), 0), (307, [float("inf")] * 16, 1), rows[3]]
+    rows += [(308, [*vs[9].tolist()[:5], None, *vs[9].tolist()[5:]], 0), (309, [*vs[9].tolist(), None], 0), (310, [None], 0)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("kept", F.lit(1))
-    got = vectors.near_vectors(d, 0.93, block=16).toPandas()
+    got = vectors.near_vectors(d, 0.93, block_bytes=2048, queries=7).toPandas()
     ok = [i for i, (v, e, lab) in enumerate(rows) if v is not None and lab is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
     n, parent = collections.Counter(), {r[0]: r[0] for r in rows}
 
