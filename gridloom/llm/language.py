@@ -6,8 +6,9 @@ itself (the lexicon). Transitions between words are learned too, on chains that
 so that code-switched text gets its stretches. Marginals of forward-backward, over whole texts,
 are added up by text: the language with the largest sum is predicted and its share is the score.
 
-The model is fitted on a sample of labelled rows: about ``per_language`` texts of at most ``text_bytes``
-bytes for each language and at most ``train_words`` words in all. All else covers every row.
+The model is fitted on a sample of labelled rows: about ``per_language`` texts of each of at most
+``most_languages`` languages (the most frequent ones), of a longer text its first ``text_chars`` characters, and
+at most ``train_words`` words in all. All else covers every row and whole texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows with a null
 language train nothing; without any row to learn from everything is ``und``; repeated rows count as
@@ -143,12 +144,22 @@ def held_out(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def training_rows(documents: DataFrame, per_language: int, text_bytes: int) -> tuple[list[bytes], list[str]]:
-    """Texts and languages of the sample, drawn by a hash of the id at one rate a language."""
-    rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).where(F.octet_length("text") <= text_bytes)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l"), F.greatest(F.lit(1), (F.col("n") / per_language).cast("long")).alias("every"))
-    drawn = rows.join(counts, F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("every")) == 0)
-    found = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.lang) for r in drawn.select("doc_id", "text", "lang").collect())
+def training_rows(documents: DataFrame, per_language: int, text_chars: int, most_languages: int) -> tuple[list[bytes], list[str]]:
+    """Texts and languages of the sample, drawn by a hash of the id at one rate a language.
+
+    The rates, one number for each of at most ``most_languages`` languages, are a literal of the plan, so that the
+    drawing is one scan without a shuffle."""
+    rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not counts:
+        return [], []
+    per_language = min(per_language, 6000 // len(counts) + 1)  # the sample in all stays under 12,000 texts
+    every = documents.sparkSession.createDataFrame([(r.lang, max(1, r.n // per_language)) for r in counts], "l string, every long")
+    drawn = rows.join(F.broadcast(every), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("every")) == 0)
+    found = drawn.select("doc_id", F.substring("text", 1, text_chars).alias("text"), "lang")
+    # Where one id has very many rows, the hash draws all of them or none: the least hashes of the texts stay.
+    found = found.orderBy(F.xxhash64("doc_id", "text", F.lit(4)), "doc_id", "text", "lang").limit(2 * per_language * len(counts))
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.lang) for r in found.collect())
     return [t.encode() for _, _, t, _ in found], [lang for *_, lang in found]
 
 
@@ -183,9 +194,10 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def learn(documents: DataFrame, per_language: int = 300, text_bytes: int = 1 << 15) -> Model | None:
-    texts, labels = training_rows(documents, per_language, text_bytes)
-    return fit(texts, labels) if texts else None
+def learn(documents: DataFrame, per_language: int = 300, text_chars: int = 1 << 12, most_languages: int = 500) -> Model | None:
+    texts, labels = training_rows(documents, per_language, text_chars, most_languages)
+    # With many languages fewer hash slots, so that the weights stay under 16 million numbers.
+    return fit(texts, labels, bits=min(18, ((1 << 24) // max(1, len(set(labels)))).bit_length() - 1)) if texts else None
 
 
 def op3_word_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
