@@ -4,9 +4,9 @@ Source token shares p are raised to an exponent t and normalised: w ~ p**t (t =
 corpus, t = 0 makes sources equal). The exponent is bisected to the entropy asked for and then
 raised where needed until no source must be repeated more often than the limit. Weights times
 the budget are the sources' token budgets, realised by block permutations: a source's documents
-are dealt by hash to blocks, blocks and the documents in them come in hashed order, whole
-epochs first; the last, partial epoch ends in one block, with the document that reaches the
-budget. Rows that agree in id and text share a hash and are used alike.
+are dealt by hash to blocks (of about ``block_tokens`` however many they are), blocks and the documents in them come
+in hashed order, whole epochs first; the last, partial epoch ends in one block, with the document that reaches the
+budget. That block is found by its range of the order, one of 4,096, first, so that no window spans a source. Rows that agree in id and text share a hash and are used alike.
 
 Defined cases: null sources are one source of their own; a null or empty text has no tokens and
 comes with the epochs of its block; repeated rows are separate documents; an empty table gives
@@ -75,7 +75,7 @@ def tokens() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: float = 0.5, repeats: float = 2.0, seed: int = 17, block_tokens: int = 1 << 17, most_blocks: int = 4096, most_sources: int = 1_000_000, broadcast_sources: int = 10_000) -> DataFrame:
+def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: float = 0.5, repeats: float = 2.0, seed: int = 17, block_tokens: int = 1 << 17, most_sources: int = 1_000_000, broadcast_sources: int = 10_000) -> DataFrame:
     """The documents of the mixture with ``mix_epoch`` (0, 1, ...; one row per use).
 
     ``budget`` is a multiple of the corpus's tokens; without one every source has a whole epoch and
@@ -104,16 +104,21 @@ def mix(documents: DataFrame, budget: float | None = None, share_of_entropy: flo
         full = int(epochs + 1e-9)
         part = (epochs - full) * r.t
         # Less than half a token is rounding, not a further epoch.
-        plan.append((r.source, min(most_blocks, max(1, r.t // block_tokens)), full, part if part >= 0.5 else 0.0))
-    plan = spark.createDataFrame(plan, "_s string, _blocks int, _full int, _part double")
+        plan.append((r.source, max(1, r.t // block_tokens), full, part if part >= 0.5 else 0.0))
+    kind = documents.schema["source"].dataType.simpleString()
+    plan = spark.createDataFrame(plan, f"_s {kind}, _blocks long, _full int, _part double")
     same = F.col("source").eqNullSafe(F.col("_s"))
-    block = F.pmod("_hash", "_blocks").cast("int")
+    block = F.pmod("_hash", "_blocks")
     order = F.xxhash64(block, F.lit(seed + 1))
     dealt = narrow.join(few(plan), same).select("source", "_hash", "_tokens", "_part", order.alias("_order"), block.alias("_block"))
     blocks = dealt.groupBy("source", "_order", "_block").agg(F.sum("_tokens").alias("_n"), F.first("_part").alias("_part"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_order", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # The range of the order (its top 12 bits), then the block in which the budget ends.
+    blocks = checkpoint(blocks.withColumn("_range", F.shiftright("_order", 52)))
+    ranges = blocks.groupBy("source", "_range").agg(F.sum("_n").alias("_n"), F.first("_part").alias("_part"))
+    ahead = lambda *order: F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ending = ranges.withColumn("_left", F.col("_part") - ahead("_range")).where("_left > 0").groupBy("source").agg(F.max("_range").alias("_r"), F.min("_left").alias("_left")).select(F.col("source").alias("_s"), "_r", "_left")
     last = (
-        blocks.withColumn("_rest", F.col("_part") - before).where("_rest > 0")
+        blocks.join(few(checkpoint(ending)), same & (F.col("_range") == F.col("_r"))).withColumn("_rest", F.col("_left") - ahead("_order", "_block")).where("_rest > 0")
         .groupBy("source").agg(F.max(F.struct("_order", "_block", "_rest", "_n")).alias("e"))
         .select(F.col("source").alias("_s"), F.col("e._order").alias("_eo"), F.col("e._block").alias("_eb"), F.col("e._rest").alias("_rest"), F.col("e._n").alias("_en"))
     )
