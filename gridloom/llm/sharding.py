@@ -71,11 +71,22 @@ def assign(df: DataFrame, key: list[str], tree: Topology, out: str = "shard") ->
     return down.withColumn(out, F.element_at(shards, F.col(names[2]) + 1).cast("int")).drop(*names)
 
 
-def assign_table(documents: DataFrame, shards: int = 24) -> DataFrame:
+def grown(shards: int, founded: int = 24) -> Topology:
+    """The tree of ``founded`` shards after it grew to ``shards``, one by one: what ``shards`` and one more
+    shard give agrees with ``add_shard`` for every number."""
+    if shards < founded:
+        raise ValueError(f"the tree was founded with {founded} shards and only grows")
+    tree = topology(founded)
+    for _ in range(shards - founded):
+        tree = add_shard(tree)
+    return tree
+
+
+def assign_table(documents: DataFrame, shards: int = 24, founded: int = 24) -> DataFrame:
     """Every document with shard, gapless slot within it, and its shard after adding one.
 
     Only ids, sizes and checksums are shuffled, by (shard, hash bucket)."""
-    tree = topology(shards)
+    tree = grown(shards, founded)
     bytes_ = F.encode("text", "UTF-8")
     rows = documents.select(
         "doc_id",
