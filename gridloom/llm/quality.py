@@ -5,10 +5,10 @@ words, repetition of earlier lines, end punctuation, position). Viterbi decoding
 as content or boilerplate; a text is kept if it passes the base rules and the content lines hold at
 least ``share`` of its words.
 
-Labels exist for documents, not for lines, so the field is fitted in two rounds: first every line
-takes its document's quality, then the lines of poor documents are decoded again (a poor document stays
-mostly boilerplate) and the field is refitted. The sample is bounded: ``sample`` labelled documents, drawn by a
-hash of the id, of at most ``text_bytes`` bytes each. All counts cover every row and whole texts.
+Labels exist for documents, not for lines, so the field is fitted in rounds: first every line takes its document's
+quality; then lines are decoded (``decodings`` times at most) and keep what they are decoded as, unless that turned
+their document's label over, and the field is refitted. The sample is bounded: ``sample`` labelled ids, drawn by a
+hash of the id, and twice as many texts, of at most ``text_bytes`` bytes each; an id with several labels has the least. All counts cover every row and whole texts.
 
 Defined cases: a null or empty text has no words and fails the base rules; without labels of both kinds
 all lines count as content; labels that are null, or of documents that aren't there, train nothing;
@@ -154,11 +154,13 @@ class Field:
                 x += rate * s / np.sqrt(q)
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = 2000, text_bytes: int = 1 << 15) -> Field | None:
+def learn(documents: DataFrame, labels: DataFrame, sample: int = 2000, text_bytes: int = 1 << 15, decodings: int = 3) -> Field | None:
     """The field fitted on a bounded sample of labelled documents; None without both qualities."""
-    drawn = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    drawn = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("d")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("d"), "d").limit(sample)
     # ``sample`` rows of two numbers: broadcast, so that the texts aren't shuffled for them.
-    rows = documents.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("d")).where(F.octet_length("text").between(1, text_bytes)).select("d", "quality", "text").limit(4 * sample).collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("d")).where(F.octet_length("text").between(1, text_bytes)).select("d", "quality", "text")
+    # Ids that come often leave the same rows, whatever the order of the tasks.
+    rows = rows.orderBy(F.xxhash64("d", "text"), "d", "text").limit(2 * sample).collect()
     rows = sorted((r.d, int(r.quality), r.text) for r in rows)
     if len({q for _, q, _ in rows}) < 2:
         return None
@@ -173,14 +175,19 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = 2000, text_byte
     weight = 1.0 / np.sqrt(np.diff(lines.first)[lines.text])
     field = Field()
     field.fit(active, first, gold, weight)
-    score = field.scores(active)
-    for t in np.flatnonzero(~good):
-        a, b = lines.first[t], lines.first[t + 1]
-        path = np.array(viterbi(score[a:b], field.transition, field.start), np.int64)
-        size = lines.b[a:b] - lines.a[a:b]
-        if b > a and (size * path).sum() < 0.5 * size.sum():
-            gold[a:b] = path
-    field.fit(active, first, gold, weight, rounds=100)
+    size = lines.b - lines.a
+    for _ in range(decodings):
+        # Lines go by their own decoding where it doesn't turn the text's label over: boilerplate within good
+        # texts and content within poor ones train the field as what they are.
+        score, before = field.scores(active), gold.copy()
+        for t in np.flatnonzero(np.diff(lines.first)):
+            a, b = lines.first[t], lines.first[t + 1]
+            path = np.array(viterbi(score[a:b], field.transition, field.start), np.int64)
+            share = (size[a:b] * path).sum() / size[a:b].sum()
+            gold[a:b] = path if (share >= 0.5) == good[t] else good[t]
+        if (gold == before).all():
+            break
+        field.fit(active, first, gold, weight, rounds=100)
     return field
 
 

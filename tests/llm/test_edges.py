@@ -84,6 +84,43 @@ def test_sharding_moves_only_where_weights_change(spark):
     assert (grown.c[grown.c != both.a] == 10).all() and abs((grown.c == 10).mean() - 2 / 12) < 0.02
 
 
+def xx64(values, seed=42):
+    """Spark's xxhash64 of longs and ints (an int: its 4 bytes), chained from left to right."""
+    import struct
+
+    import xxhash
+
+    for fmt, v in values:
+        seed = seed if v is None else xxhash.xxh64_intdigest(struct.pack(fmt, v), seed)
+    return seed
+
+
+def test_sharding_against_brute_force(spark):
+    """The whole tree in plain Python: every level's draws, shard by shard, for several sizes of one tree."""
+    ids = [None, 0, 1, -5, 2**40, *range(100, 400)]
+    d = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+
+    def down(key, tree):
+        def draw(level, parent, i, weight):
+            h = xx64([("<q", key), ("<i", level), ("<i", parent), ("<i", i)])
+            return -np.log(((h >> 11) + 0.5) / 2.0**53) / weight
+
+        weight = lambda node: node[1] if isinstance(node, tuple) else sum(map(weight, node))
+        racks = [rack for region in tree for rack in region]
+        region = min(range(len(tree)), key=lambda i: draw(0, 0, i, weight(tree[i])))
+        rack = sum(map(len, tree[:region])) + min(range(len(tree[region])), key=lambda i: draw(1, region, i, weight(tree[region][i])))
+        return racks[rack][min(range(len(racks[rack])), key=lambda i: draw(2, rack, i, racks[rack][i][1]))][0]
+
+    before = None
+    for n in (24, 25, 26):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_table(d, n).collect()}
+        assert got == {i: (down(i, sharding.grown(n)), down(i, sharding.grown(n + 1))) for i in ids}
+        assert before is None or before == {i: s for i, (s, _) in got.items()}
+        before = {i: g for i, (_, g) in got.items()}
+    with pytest.raises(ValueError):
+        sharding.assign_table(d, 23)
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (12, 0, 0), (17, 0, 0), (10, 1, 0), (99, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     field = quality.learn(docs, labels)
@@ -104,6 +141,51 @@ def test_quality(spark, docs, none):
     assert quality.learn(docs, labels.where("quality = 1")) is None and quality.learn(none, labels) is None
 
 
+def test_fields_against_enumeration():
+    """Marginals, pair sums and the best path of several chains, against all label sequences."""
+    import itertools
+
+    from gridloom.llm.crf import forward_backward, viterbi
+
+    rng = np.random.Generator(np.random.PCG64(21))
+    k, lengths = 3, [5, 1, 4]
+    score, transition, start = rng.normal(0, 2, (10, k)), rng.normal(0, 1, (k, k)), rng.normal(0, 1, k)
+    first = np.zeros(10, bool)
+    first[[0, 5, 6]] = True
+    g, pair, begin = forward_backward(score, first, transition, start, size=3)
+    want, pairs, begins, at = np.zeros((10, k)), np.zeros((k, k)), np.zeros(k), 0
+    for n in lengths:
+        paths = list(itertools.product(range(k), repeat=n))
+        value = np.array([start[y[0]] + sum(score[at + i, y[i]] for i in range(n)) + sum(transition[a, b] for a, b in zip(y, y[1:])) for y in paths])
+        assert tuple(viterbi(score[at : at + n], transition, start)) == paths[value.argmax()]
+        p = np.exp(value - value.max())
+        for y, q in zip(paths, p / p.sum()):
+            for i in range(n):
+                want[at + i, y[i]] += q
+            begins[y[0]] += q
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += q
+        at += n
+    assert np.allclose(g, want) and np.allclose(pair, pairs) and np.allclose(begin, begins)
+
+
+def test_quality_labels_lines_and_holds_out(spark):
+    """Texts that mix both kinds of lines: their share of content; and verdicts on texts that weren't learned from."""
+    good = lambda: " ".join(prose(12)).capitalize() + "."
+    poor = lambda: " | ".join(w.upper() + "###" for w in prose(12))
+    lines = [[good() if i % 3 else poor() for _ in range(8)] for i in range(150)]
+    for i in range(0, 40, 2):  # a few lines of the other kind within learned texts
+        lines[i][3] = poor() if i % 3 else good()
+    lines += [[good() for _ in range(c)] + [poor() for _ in range(8 - c)] for c in (6, 3, 5, 2)]
+    d = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(lines)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(d, quality.learn(d, labels)).collect()}
+    assert all(got[i].kept == (i % 3 > 0) for i in range(100, 150))
+    want = [sum(len(words(x)) for x in t if "#" not in x) / sum(len(words(x)) for x in t) for t in lines]
+    for i, t in enumerate(lines[150:], 150):
+        assert abs(got[i].content_share - want[i]) < 1e-9 and got[i].kept == (want[i] >= 0.5)
+
+
 def test_language(spark, docs, none):
     en, de = "the cat and the dog with this house of that".split(), "der hund und die katze mit dem haus von einer".split()
     rows = []
@@ -378,6 +460,31 @@ def test_mixing(docs, none):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("kind,names", [("string", ["a", "b", None]), ("int", [1, 2, None])])
+def test_mixing_against_brute_force(spark, kind, names):
+    """Which documents are used how often: blocks in hashed order, documents by hash, up to the budget."""
+    rows = [(i, "w " * (3 + i % 17), names[0 if i % 10 else 1 + i % 20 // 10]) for i in range(700)]
+    d = spark.createDataFrame(rows, f"doc_id long, text string, source {kind}")
+    hashes = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64("doc_id", "text", F.lit(17)).alias("h")).collect()}
+    for budget in (0.6, 1.0, 1.7):
+        sizes = {s: sum(3 + i % 17 for i, _, t in rows if t == s) for s in names}
+        _, w = mixing.solve([float(sizes[s]) for s in names], budget * sum(sizes.values()), 0.5, 2.0)
+        want = collections.Counter()
+        for s, share in zip(names, w):
+            epochs = share * budget * sum(sizes.values()) / sizes[s]
+            full, blocks = int(epochs + 1e-9), max(1, sizes[s] // 128)
+            part, order = (epochs - full) * sizes[s], {}
+            mine = [(i, hashes[i] % blocks) for i, _, t in rows if t == s]
+            for b in {b for _, b in mine}:
+                order[b] = xx64([("<q", b), ("<i", 18)])
+                order[b] -= (order[b] >> 63) << 64
+            for i, b in sorted(mine, key=lambda x: (order[x[1]], x[1], hashes[x[0]])):
+                want[i] += full + (part > 0 and part >= 0.5)
+                part -= 3 + i % 17
+        got = collections.Counter(r.doc_id for r in mixing.mix(d, budget, block_tokens=128).collect())
+        assert got == +want
+
+
 def test_mixing_budgets(spark):
     rows = [(i, "w " * int(n), s) for i, (n, s) in enumerate([(20, "a")] * 900 + [(20, "b")] * 90 + [(20, None)] * 10)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
