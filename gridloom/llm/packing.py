@@ -52,20 +52,32 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 def same_ranks(path: str):
-    """An encoder of single chunks with the file's own vocabulary, by a library that is quicker on short
-    strings (``Encoder`` keeps testing it). None where the file isn't a plain byte-level vocabulary whose
-    ids follow its merges."""
+    """An encoder of single ASCII chunks with the file's own vocabulary, by a library that is quicker on short
+    strings. None unless it provably gives the same ids.
+
+    The file must be a plain byte-level one whose ids follow its merges: then both join the pair of least id first,
+    the leftmost of equal ones. They could differ only where the quick one joins a pair that is no merge but spells a token.
+    Take the first such join in a chunk, of x and y to z: all joins within z's bytes up to there are
+    merges, in the order that z alone would take them, so that the file's model would leave z alone at x, y.
+    Hence the two agree where the model encodes the spelling of every token as that token, which is tried here for all of them."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     model = json.loads(open(path, encoding="utf-8").read())
     if model["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model["normalizer"]:
         return None
+    if any(model["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     special = {t["content"] for t in model["added_tokens"]}
     vocabulary = {k: v for k, v in model["model"]["vocab"].items() if k not in special}
     joined = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
-    if joined != sorted(joined) or not all(c in byte for k in vocabulary for c in k):
+    if joined != sorted(set(joined)) or not all(c in byte for k in vocabulary for c in k) or not all(c in vocabulary for c in byte):
+        return None
+    alone = Tokenizer.from_str(json.dumps({**model, "added_tokens": [], "pre_tokenizer": None, "post_processor": None, "decoder": None}))
+    tokens = list(vocabulary)
+    if any(e.ids != [vocabulary[t]] for t, e in zip(tokens, alone.encode_batch_fast(tokens, add_special_tokens=False))):
         return None
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
     return tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in vocabulary.items()}, special_tokens={})._core_bpe.encode_ordinary
@@ -81,7 +93,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keep, self.known, self.seen = keep, {}, 0
+        self.keep, self.known = keep, {}
         self.quick = same_ranks(path)
 
     def direct(self, text: str) -> bytes:
@@ -92,20 +104,14 @@ class Encoder:
         parts = [CHUNK.findall(t) if p else None for t, p in zip(texts, plain)]
         if len(self.known) > self.keep:
             self.known.clear()
-        known = self.known
+        known, quick = self.known, self.quick
         new = [*set().union(*(p for p in parts if p)).difference(known)]
-        if self.quick and new:
-            # The first chunks of every worker, and one in 512 after that, go through both.
-            step = 1 if self.seen < 2000 else 512
-            self.seen += len(new)
-            tested = new[::step]
-            if [self.quick(c) for c in tested] != [e.ids for e in self.tokenizer.encode_batch_fast(tested, add_special_tokens=False)]:
-                self.quick = None
-                known.clear()
-                return self.encode(texts)
+        if quick:
             for c in new:
-                known[c] = _bytes(self.quick(c))
-        elif new:
+                if c.isascii():
+                    known[c] = _bytes(quick(c))
+            new = [c for c in new if not c.isascii()]
+        if new:
             for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 known[c] = _bytes(e.ids)
         return [self.direct(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts)]

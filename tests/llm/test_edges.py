@@ -397,6 +397,26 @@ def test_encoder_agrees_with_the_tokenizer():
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_the_quick_encoder_agrees_on_all_kinds_of_chunks():
+    rng = np.random.Generator(np.random.PCG64(31))
+    encoder = packing.Encoder(packing.vocabulary())
+    assert encoder.quick
+    ascii_ = "".join(map(chr, [9, 10, 13, *range(32, 127)]))
+    pools = [ascii_, "ab", "the and", "aA1 .'", "==--__  ", "0123456789", "\r\n \t"]
+    texts = ["".join(rng.choice(list(pools[i % len(pools)]), int(rng.integers(1, 60)))) for i in range(7000)]
+    got = encoder.encode(texts)
+    assert got == [packing._bytes(e.ids) for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bin_completion_finds_planted_packings():
+    rng = np.random.Generator(np.random.PCG64(41))
+    for bins, pieces in ((400, 6), (200, 8), (300, 3)):
+        cuts = np.sort(np.array([rng.choice(2047, pieces - 1, replace=False) + 1 for _ in range(bins)]), axis=1)
+        sizes = np.diff(np.column_stack([np.zeros(bins, int), cuts, np.full(bins, 2048)]), axis=1).ravel()
+        plan = packing.pack(np.bincount(sizes, minlength=2049))
+        assert sum(t for _, t in plan) == bins and all(sum(b) <= 2048 for b, _ in plan)
+
+
 def test_bin_completion_is_optimal_on_small_cases():
     def least(items, capacity):
         items, best = sorted(items, reverse=True), [len(items)]
