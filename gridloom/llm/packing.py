@@ -84,16 +84,16 @@ def same_ranks(path: str):
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. Chunks of text that tokens can't cross
-    are encoded once and kept (up to ``keep`` of them)."""
+    """Token ids of texts as little-endian 32-bit bytes. Chunks of text that tokens can't cross are encoded
+    once and kept in two generations of up to ``keep``: those not met again while the younger one fills go."""
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.older = keep, {}, {}
         self.quick = same_ranks(path)
 
     def direct(self, text: str) -> bytes:
@@ -103,9 +103,12 @@ class Encoder:
         plain = [not any(s in t for s in self.special) and not any(c in t for c in ODD) for t in texts]
         parts = [CHUNK.findall(t) if p else None for t, p in zip(texts, plain)]
         if len(self.known) > self.keep:
-            self.known.clear()
-        known, quick = self.known, self.quick
-        new = [*set().union(*(p for p in parts if p)).difference(known)]
+            self.known, self.older = {}, self.known
+        known, older, quick = self.known, self.older, self.quick
+        new = set().union(*(p for p in parts if p)).difference(known)
+        met = older.keys() & new
+        known.update((c, older[c]) for c in met)
+        new -= met
         if quick:
             for c in new:
                 if c.isascii():
