@@ -249,6 +249,10 @@ class NamedArray(NDArrayOperatorsMixin):
         m = self.metadata
         return Lowering(self.selection.cells(self._session()), expr.Input(m.shape, m.axes, np.dtype(m.dtype))).run(self.expression)
 
+    def kept_axes(self) -> set[str]:
+        """Axes that no reduction of the expression spans, global staged scalars apart."""
+        return {a for a in self.metadata.axes if a not in _reduced(self.expression, True)}
+
     def _tiles(self, most: int = 64 << 20) -> list[tuple[tuple[int, int], ...]] | None:
         """Ranges of the selection that can be evaluated each on its own: reduced axes whole, others by
         native chunk or less. None where a reduction spans everything or a tile would be too large."""
@@ -285,7 +289,7 @@ class NamedArray(NDArrayOperatorsMixin):
                     yield pa.RecordBatch.from_pydict({"tile": [i], "data": [value.tobytes()]})
 
         out = np.zeros(self.shape, self.dtype)
-        for r in spark.range(0, len(tiles), 1, min(len(tiles), 4096)).mapInArrow(run, "tile long, data binary").toLocalIterator():
+        for r in spark.range(0, len(tiles), 1, min(len(tiles), 4096)).mapInArrow(run, "tile long, data binary").collect():
             ranges = dict(zip(m.axes, tiles[r.tile]))
             index = tuple(slice(*ranges[a]) if n > 1 or m.shape[m.axes.index(a)] == 1 else slice(0, 1) for a, n in zip(self.axes, self.shape))
             part = out[index]

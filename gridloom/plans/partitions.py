@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 import warnings
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.exceptions import PartitionValidationError
@@ -50,6 +52,26 @@ class Report:
     warnings: tuple[str, ...] = ()
 
 
+class Plan:
+    """What partition plans share: ``build(meta)`` raises what ``validate(meta)`` reports."""
+
+    def build(self, meta) -> list[Partition]:
+        raise NotImplementedError
+
+    def validate(self, meta) -> Report:
+        """Errors and warnings of this plan for an array, and of the partitions that it makes."""
+        with warnings.catch_warnings(record=True) as seen:
+            warnings.simplefilter("always")
+            try:
+                parts = self.build(meta)
+                check_descriptors(parts, meta.shape)
+                check_cover(parts, meta.shape)
+                errors: tuple[str, ...] = ()
+            except PartitionValidationError as e:
+                errors = (str(e),)
+        return Report(not errors, errors, tuple(str(w.message) for w in seen))
+
+
 def _windows(n: int, size: int, before: int, after: int) -> list[tuple[Range, Range, Range]]:
     """(read, output, trim) of windows that tile 0 .. n."""
     out = []
@@ -68,22 +90,26 @@ def _cross(shape, by_axis: list[list[tuple[Range, Range, Range]]], label: str, n
     return out
 
 
+#: Units of durations and how many of them make a second.
+PER_SECOND = {"ms": 1000, "s": 1, "min": Fraction(1, 60)}
+
+
 def samples(value: int | str, rate: float | None) -> int:
-    """A number of samples from an int or a duration ("60 s", "5 ms", "2 min")."""
-    if isinstance(value, bool):
-        raise PartitionValidationError("a window is a number of samples or a duration")
-    if isinstance(value, int):
+    """A number of samples, given as such or as a duration ("60 s", "5 ms", "2 min") of one sample at least."""
+    if type(value) is int:
         return value
-    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(ms|s|min)\s*", value)
-    if not m:
-        raise PartitionValidationError(f"{value!r} is no duration")
+    text = str(value).strip()
+    unit = next((u for u in PER_SECOND if text.endswith(u) and text[: -len(u)].strip().replace(".", "", 1).isdecimal() and not text[: -len(u)].strip().startswith(".") and not text[: -len(u)].strip().endswith(".")), None)
+    if isinstance(value, bool) or unit is None:
+        raise PartitionValidationError(f"{value!r} is neither a number of samples nor a duration")
     if not rate:
         raise PartitionValidationError("durations need a sampling rate")
-    return max(1, round(float(m[1]) * {"ms": 0.001, "s": 1.0, "min": 60.0}[m[2]] * rate))
+    seconds = Fraction(text[: -len(unit)].strip()) / PER_SECOND[unit]
+    return max(1, round(seconds * Fraction(rate)))
 
 
 @dataclass(frozen=True)
-class TimeWindowPlan:
+class TimeWindowPlan(Plan):
     """Tumbling windows of the ``time`` axis (or the first), read with an overlap on both sides."""
 
     size: int | str
@@ -108,7 +134,7 @@ class TimeWindowPlan:
 
 
 @dataclass(frozen=True)
-class SpatialTilePlan:
+class SpatialTilePlan(Plan):
     """Tiles of the named axes, read with a halo; other axes are whole."""
 
     tile: dict[str, int]
@@ -126,12 +152,27 @@ class SpatialTilePlan:
             by_axis.append(_windows(n, size, halo, halo))
         return _cross(meta.shape, by_axis, "tile", meta.axes)
 
+    def numbered(self, meta):
+        """The function from a partition's number to the partition, for plans without halos."""
+        sizes = [self.tile.get(a, n) for a, n in zip(meta.axes, meta.shape)]
+        counts, shape, names = [-(-n // s) for n, s in zip(meta.shape, sizes)], tuple(meta.shape), tuple(meta.axes)
+
+        def at(number: int) -> Partition:
+            place, rest = [], number
+            for c in reversed(counts):
+                rest, k = divmod(rest, c)
+                place.append(k)
+            own = tuple((k * s, min(n, (k + 1) * s)) for k, s, n in zip(reversed(place), sizes, shape))
+            return Partition(f"tile-{number:06d}", own, own, tuple((0, b - a) for a, b in own), tuple((f"{a}_start", o[0]) for a, o in zip(names, own)))
+
+        return at
+
     def to_dict(self) -> dict:
         return {"type": "tile", "tile": dict(self.tile), "halo": dict(self.halo)}
 
 
 @dataclass(frozen=True)
-class AssetPlan:
+class AssetPlan(Plan):
     """One whole partition; ``filter`` is recorded only."""
 
     filter: str | None = None
@@ -145,7 +186,7 @@ class AssetPlan:
 
 
 @dataclass(frozen=True)
-class SessionPlan:
+class SessionPlan(Plan):
     """One whole partition; ``group_by`` is recorded only."""
 
     group_by: str | None = None
@@ -187,22 +228,39 @@ def check_descriptors(parts: list[Partition], shape: tuple[int, ...]) -> None:
 
 
 def check_cover(parts: list[Partition], shape: tuple[int, ...], axes: list[int] | None = None) -> None:
-    """The outputs tile the array exactly: volumes add up and no two boxes meet (sweep along axis 0)."""
+    """The outputs tile the array exactly."""
     axes = list(range(len(shape))) if axes is None else axes
     if not axes:
         if len(parts) != 1:
             raise PartitionValidationError("a scalar output has exactly one owner")
         return
-    boxes = [[p.output[i] for i in axes] for p in parts]
-    volume = sum(math.prod(b - a for a, b in box) for box in boxes)
-    if volume != math.prod(shape[i] for i in axes):
-        raise PartitionValidationError("the outputs leave gaps or overlap")
-    active: list = []
-    for box in sorted(boxes):
-        active = [o for o in active if o[0][1] > box[0][0]]
-        if any(all(a < d and c < b for (a, b), (c, d) in zip(o, box)) for o in active):
-            raise PartitionValidationError("two outputs overlap")
-        active.append(box)
+    # Every border of any output cuts its axis; each cell of that grid must have one owner.
+    cuts = [sorted({0, shape[i], *(x for p in parts for x in p.output[i])}) for i in axes]
+    if math.prod(len(c) - 1 for c in cuts) > 64 * len(parts) * len(axes) + 4096:
+        return _check_sorted(parts, shape, axes)
+    owners = np.zeros([len(c) - 1 for c in cuts], np.int32)
+    for p in parts:
+        owners[tuple(slice(bisect_left(c, p.output[i][0]), bisect_left(c, p.output[i][1])) for c, i in zip(cuts, axes))] += 1
+    if (owners == 0).any():
+        raise PartitionValidationError("the outputs leave gaps")
+    if (owners > 1).any():
+        raise PartitionValidationError("two outputs overlap")
+
+
+def _check_sorted(parts: list[Partition], shape: tuple[int, ...], axes: list[int]) -> None:
+    """The same where there are very many borders: between two neighbouring borders of the first axis, the
+    outputs that lie there must cover the other axes."""
+    first, rest = axes[0], axes[1:]
+    cuts = sorted({0, shape[first], *(x for p in parts for x in p.output[first])})
+    starts: dict[int, list[Partition]] = {}
+    for p in parts:
+        starts.setdefault(p.output[first][0], []).append(p)
+    here: list[Partition] = []
+    for low in cuts[:-1]:
+        here = [p for p in here if p.output[first][1] > low] + starts.get(low, [])
+        if not here:
+            raise PartitionValidationError("the outputs leave gaps")
+        check_cover(here, shape, rest)
 
 
 def check_reduced(parts: list[Partition], meta, reduced: tuple[str, ...]) -> None:

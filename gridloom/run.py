@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import platform
 import shutil
@@ -20,7 +21,7 @@ from gridloom.lower import Lowering
 from gridloom.plans.execution import ExecutionPlan, build_plan
 from gridloom.plans.memory import resolve_budget, workers
 from gridloom.plans.partitions import Partition, automatic_tiles, deal
-from gridloom.storage.manifest import Manifest, check_all, manifest_path, problem, read_json, write_json
+from gridloom.storage.manifest import Manifest, check_all, check_one, manifest_path, read_json, write_json
 from gridloom.storage.outputs import Output, ZarrOutput, guard_overwrite, separate
 
 
@@ -99,8 +100,7 @@ class Result:
         record = self.record
         if not record:
             return {"valid": False, "problems": {"*": "no provenance"}}
-        table = check_all(spark, self.root, record["workflow_id"], self.keys(), record["components"], checksums)
-        problems = {r.partition_id: r.problem for r in table.where("problem IS NOT NULL").collect()}
+        problems = check(spark, self.root, record["workflow_id"], self.keys(), record["components"], checksums)
         for s in record.get("stages", []):
             path = os.path.join(self.root, "stages", s["id"] + ".json")
             if os.path.exists(path):
@@ -134,11 +134,16 @@ class Result:
 
 
 class Table:
+    """A result's rows. ``query`` takes conditions as a data-frame user writes them (``value > 3 and kind == "low"``,
+    ``1 < x <= 4``, ``kind in ["a", "b"]``, ``not``, ``&``, ``|``, ``~``) or as SQL writes them."""
+
     def __init__(self, df: DataFrame):
         self.df = df
 
     def query(self, condition: str) -> DataFrame:
-        return self.df.where(condition)
+        from gridloom.conditions import column_of
+
+        return self.df.where(column_of(condition, self.df.columns))
 
 
 def _initialise(spark, root: str, plan: ExecutionPlan, output: Output, adapter, meta: ArrayMeta, components: dict[str, dict], resume: bool) -> None:
@@ -169,18 +174,24 @@ def _initialise(spark, root: str, plan: ExecutionPlan, output: Output, adapter,
             write_json(os.path.join(root, "arrays", name, ".zarray"), {"zarr_format": 2, "shape": schema["shape"], "chunks": schema["chunks"], "dtype": schema["dtype"], "order": "C", "fill_value": 0, "filters": None, "compressor": {"id": output.codec, "level": 1} if output.codec else None})
 
 
-def pending(root: str, plan: ExecutionPlan, components: list[str]) -> list[int]:
+#: So few partitions are checked where they are planned: a job would cost more.
+FEW = 16
+
+
+def check(spark: SparkSession, root: str, workflow_id: str, keys: list[str], components: list[str], checksums: bool = True) -> dict[str, str]:
+    """What is wrong with partitions, by key; checked by the executors but for a few."""
+    if len(keys) <= FEW:
+        return {k: p for k in keys if (p := check_one(root, k, workflow_id, components, checksums)) is not None}
+    table = check_all(spark, root, workflow_id, keys, components, checksums)
+    return {r.partition_id: r.problem for r in table.where("problem IS NOT NULL").collect()}
+
+
+def pending(spark: SparkSession, root: str, plan: ExecutionPlan, components: list[str]) -> list[int]:
     """Numbers of partitions without a valid manifest."""
-    out = []
-    for i, p in enumerate(plan.partitions):
-        path = manifest_path(root, p.key)
-        try:
-            bad = not os.path.exists(path) or problem(root, read_json(path), plan.workflow_id, components) is not None
-        except ValueError:
-            bad = True
-        if bad:
-            out.append(i)
-    return out
+    if not os.path.isdir(os.path.dirname(manifest_path(root, "x"))):
+        return list(range(len(plan.partitions)))
+    bad = check(spark, root, plan.workflow_id, [p.key for p in plan.partitions], components)
+    return [i for i, p in enumerate(plan.partitions) if p.key in bad]
 
 
 REPORT = "partition_id string, status string, message string"
@@ -233,7 +244,7 @@ def run(*, source=None, selection: Selection, adapter: kernels.Adapter, partitio
     def go(result: Result) -> None:
         began = time.time()
         _initialise(spark, root, plan, output, adapter, meta, components, resume)
-        todo = pending(root, plan, list(components))
+        todo = pending(spark, root, plan, list(components))
         if not todo:
             return _finish(result, [], began)
         cells = deal(selection.cells(spark), list(parts), meta.axes).where(F.col("tile").isin(todo)) if len(todo) < len(parts) else deal(selection.cells(spark), list(parts), meta.axes)
@@ -282,6 +293,20 @@ def plan(*, source=None, selection: Selection, adapter, partition, output) -> Ex
     return build_plan(selection.metadata, adapter, partition, output)
 
 
+def _block_axes(array: NamedArray, parts, most: int = 256 << 20) -> set[str] | None:
+    """Axes along which the tiles of a result can be evaluated each on its own from the source's blocks; None
+    where they can't, or where a tile's input is over ``most`` bytes."""
+    if array._tiles() is None:
+        return None
+    meta, e = array.metadata, array.expression
+    kept = array.kept_axes()
+    if any(len({p.output[i] for p in parts}) > 1 for i, a in enumerate(e.axes) if a not in kept):
+        return None
+    size = dict(zip(e.axes, (b - a for a, b in parts[0].output)))
+    bytes_ = np.dtype(meta.dtype).itemsize * math.prod(size[a] if a in kept else n for a, n in zip(meta.axes, meta.shape))
+    return kept if bytes_ <= most else None
+
+
 def persist_workflow(array: NamedArray, output: Output | str, chunks=None, max_workers=None, memory_limit=None, resume: bool = True) -> Result:
     """The result of an expression, chunk by chunk: native columns, a kernel only to write."""
     spark, e, meta = array._session(), array.expression, array.metadata
@@ -304,13 +329,43 @@ def persist_workflow(array: NamedArray, output: Output | str, chunks=None, max_w
         _limit(spark, made, max_workers, memory_limit)
     components = {"result": {"kind": "array", "shape": list(e.shape), "chunks": list(schema.chunks or ()), "dtype": e.dtype.str, "axes": list(e.axes)}}
     root, parts, dtype, block = output.root, made.partitions, e.dtype, tuple(schema.chunks or ())
+    read, whole = array.selection._block, _block_axes(array, parts)
+    part_at = regular.numbered(shown)  # tasks compute their partition from its number
 
     def go(result: Result) -> None:
         began = time.time()
         _initialise(spark, root, made, output, adapter, meta, components, resume)
-        todo = pending(root, made, ["result"])
+        todo = pending(spark, root, made, ["result"])
         if not todo:
             return _finish(result, [], began)
+        scalars = {}
+        for x in expr.staged(e):
+            row = Lowering(array.selection.cells(spark), expr.Input(meta.shape, meta.axes, np.dtype(meta.dtype))).run(x).first()
+            scalars[expr.identity(x)] = x.dtype.type(row["value"])
+            value = expr.to_dict(expr.scalar(row["value"]))
+            write_json(os.path.join(root, "stages", expr.identity(x) + ".json"), {"value": value, "checksum": expr.stable_hash(value), "operation": x.name})
+
+        def write(number: int, data: np.ndarray) -> pa.Table:
+            p = part_at(number)
+            made_ = kernels.write_blocks(root, "result", data, tuple(o[0] for o in p.output) if e.axes else (), block, output.codec)
+            write_json(manifest_path(root, p.key), Manifest(p.key, made.workflow_id, "complete", *made_).to_dict())
+            return _report(p.key, "complete")
+
+        if whole is not None:
+            # One task a tile: its block is read, evaluated and written; nothing is shuffled.
+            numbers = np.array(todo, np.int64)
+
+            def blocks(batches):
+                for b in batches:
+                    for i in b.column(0).to_pylist():
+                        p = part_at(int(numbers[i]))
+                        own = dict(zip(e.axes, p.output))
+                        bounds = [(lo + own[a][0], lo + own[a][1]) if a in whole else (lo, lo + n) for a, (lo, _), n in zip(meta.axes, meta.bounds, meta.shape)]
+                        value = expr.evaluate(e, read(bounds), meta.axes, scalars)
+                        yield from write(int(numbers[i]), np.ascontiguousarray(value, dtype=dtype)).to_batches()
+
+            done = spark.range(0, len(todo), 1, min(len(todo), 4096)).mapInArrow(blocks, REPORT).collect()
+            return _finish(result, done, began)
         if e.axes:
             cells = deal(Lowering(array.selection.cells(spark), expr.Input(meta.shape, meta.axes, np.dtype(meta.dtype))).run(e), list(parts), e.axes)
             cells = cells.where(F.col("tile").isin(todo)) if len(todo) < len(parts) else cells
@@ -318,19 +373,10 @@ def persist_workflow(array: NamedArray, output: Output | str, chunks=None, max_w
             cells = array.cells().withColumn("tile", F.lit(0).cast("bigint"))
 
         def kernel(group: pa.Table) -> pa.Table:
-            p = parts[group.column("tile")[0].as_py()]
-            if e.axes:
-                data, start = kernels.block_of(group, e.axes, p.output, dtype), tuple(o[0] for o in p.output)
-            else:
-                data, start = np.array(group.column("value")[0].as_py(), dtype), ()
-            made_ = kernels.write_blocks(root, "result", data, start, block, output.codec)
-            write_json(manifest_path(root, p.key), Manifest(p.key, made.workflow_id, "complete", *made_).to_dict())
-            return _report(p.key, "complete")
+            number = group.column("tile")[0].as_py()
+            return write(number, kernels.block_of(group, e.axes, part_at(number).output, dtype) if e.axes else np.array(group.column("value")[0].as_py(), dtype))
 
         done = cells.select(*e.axes, "value", "tile").repartition(max(1, min(1024, len(todo))), "tile").groupBy("tile").applyInArrow(kernel, REPORT).collect()
-        for s in expr.staged(e):
-            value = expr.to_dict(expr.scalar(Lowering(array.selection.cells(spark), expr.Input(meta.shape, meta.axes, np.dtype(meta.dtype))).run(s).first()["value"]))
-            write_json(os.path.join(root, "stages", expr.identity(s) + ".json"), {"value": value, "checksum": expr.stable_hash(value), "operation": s.name})
         _finish(result, done, began)
 
     return Result(root, made, go, spark)

@@ -1,6 +1,6 @@
 """Zarr v2 stores as a Spark data source: one input partition per chunk in the bounds.
 
-Chunks are C-ordered, little or big endian, uncompressed or zlib or gzip; other compressors and filters
+Chunks are C-ordered, little or big endian, raw or compressed as ``codecs`` reads; other compressors and filters
 are refused. Bounds are options of a load, never pushed filters, so that two plans over one
 DataFrame can't prune each other's chunks."""
 
@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from gridloom.array import ArrayMeta, SourceIdentity, default_axes
 from gridloom.dtypes import spark_type
 from gridloom.exceptions import SourceResolutionError, UnsupportedBackendError
+from gridloom.sources import codecs
 from gridloom.sources.base import Source
 
 FORMAT = "gridloom_zarr"
@@ -39,18 +40,14 @@ def read_chunk(root: str, meta: dict, index: tuple[int, ...]) -> np.ndarray | No
         return None
     with open(path, "rb") as f:
         data = f.read()
-    kind = (meta.get("compressor") or {}).get("id")
-    if kind == "zlib":
-        data = zlib.decompress(data)
-    elif kind == "gzip":
-        data = gzip.decompress(data)
+    data = codecs.decode(data, (meta.get("compressor") or {}).get("id"))
     return np.frombuffer(data, np.dtype(meta["dtype"])).reshape(meta["chunks"])
 
 
 def check_supported(meta: dict, path: str) -> None:
     kind = (meta.get("compressor") or {}).get("id")
-    if meta.get("zarr_format") != 2 or meta.get("order", "C") != "C" or meta.get("filters") or kind not in (None, "zlib", "gzip"):
-        raise UnsupportedBackendError(f"{path}: only Zarr v2 in C order, without filters, raw, zlib or gzip")
+    if meta.get("zarr_format") != 2 or meta.get("order", "C") != "C" or meta.get("filters") or kind not in codecs.KNOWN:
+        raise UnsupportedBackendError(f"{path}: only Zarr v2 in C order, without filters, compressed by one of {codecs.KNOWN}")
 
 
 def read_region(root: str, bounds) -> np.ndarray:
@@ -126,6 +123,7 @@ class ZarrSource(Source):
             raise SourceResolutionError(f"no store at {uri}")
         digest = hashlib.sha256()
         self._metas: list[ArrayMeta] = []
+        self.files = self.bytes = 0
         found = []
         for d, names, files in sorted(os.walk(self.root)):
             names.sort()
@@ -135,7 +133,8 @@ class ZarrSource(Source):
                 digest.update(f"{os.path.relpath(path, self.root)}|{state.st_size}|{state.st_mtime_ns}".encode())
                 if f in (".zarray", ".zattrs", ".zgroup"):
                     with open(path, "rb") as stream:
-                        digest.update(stream.read())
+                        digest.update(data := stream.read())
+                    self.files, self.bytes = self.files + 1, self.bytes + len(data)
             if ".zarray" in files and os.path.basename(d) == "data":
                 found.append(os.path.relpath(os.path.dirname(d), self.root))
         self.identity = SourceIdentity(uri, None, None, f"sha256:{digest.hexdigest()}")
@@ -174,6 +173,10 @@ class ZarrSource(Source):
     def objects(self) -> list[ArrayMeta]:
         return self._metas
 
+    def io_counters(self) -> dict[str, int | None]:
+        """Files and bytes that discovery read here; tasks read chunks elsewhere and don't count."""
+        return {"responses": self.files, "bytes": self.bytes}
+
     def _reader(self, meta: ArrayMeta):
         return load_cells(os.path.join(self.root, meta.path.lstrip("/"), "data"), meta.axes, meta.dtype)
 

@@ -104,6 +104,14 @@ def manifest_path(root: str, partition_id: str) -> str:
     return os.path.join(root, "manifests", re.sub(r"[^A-Za-z0-9_.-]", "_", partition_id) + ".json")
 
 
+def check_one(root: str, key: str, workflow_id: str, components: list[str], checksums: bool = True) -> str | None:
+    path = manifest_path(root, key)
+    try:
+        return problem(root, read_json(path), workflow_id, components, checksums) if os.path.exists(path) else "no manifest"
+    except ValueError:
+        return "unreadable manifest"
+
+
 def check_all(spark: SparkSession, root: str, workflow_id: str, keys: list[str], components: list[str], checksums: bool = True) -> DataFrame:
     """(partition_id, problem): a distributed check of all partitions; null problems are valid."""
     rows = spark.createDataFrame([(k,) for k in keys], "partition_id string").repartition(max(1, min(len(keys), 256)))
@@ -112,13 +120,8 @@ def check_all(spark: SparkSession, root: str, workflow_id: str, keys: list[str],
         import pyarrow as pa
 
         for b in batches:
-            ids, out = b.column(0).to_pylist(), []
-            for k in ids:
-                path = manifest_path(root, k)
-                try:
-                    out.append(problem(root, read_json(path), workflow_id, components, checksums) if os.path.exists(path) else "no manifest")
-                except ValueError:
-                    out.append("unreadable manifest")
+            ids = b.column(0).to_pylist()
+            out = [check_one(root, k, workflow_id, components, checksums) for k in ids]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out, pa.string())], ["partition_id", "problem"])
 
     return rows.mapInArrow(run, "partition_id string, problem string")

@@ -183,3 +183,17 @@ def test_dtypes_follow_numpy(movie, spark, store):
     small = get(spark, store, "small")
     assert small.sum().dtype == np.int64 and small.mean().dtype == np.float64 and (small + 1).dtype == np.int8 and (small + 1.0).dtype == np.float64
     assert (movie + 1.0).dtype == np.float32 and (small / 2).dtype == np.float16 or (small / 2).dtype == np.float64
+
+
+@pytest.mark.parametrize("method", ["lower", "higher", "nearest", "midpoint", "hazen", "weibull", "median_unbiased", "normal_unbiased", "inverted_cdf", "averaged_inverted_cdf", "interpolated_inverted_cdf"])
+def test_quantile_methods(spark, method):
+    from gridloom.sources.frames import from_cells
+
+    data = np.random.Generator(np.random.PCG64(2)).integers(0, 50, (9, 3)).astype("f8")
+    cells = spark.createDataFrame([(i, j, float(data[i, j])) for i in range(9) for j in range(3)], "y long, x long, value double")
+    a = from_cells(cells, ("y", "x"), (9, 3), "f8")
+    one = a.quantile(0.0, "y", method=method)
+    for q in (0.2, 0.25, 0.5, 0.9):
+        one = one + a.quantile(q, "y", method=method) * (1 + q)
+    want = np.quantile(data, 0.0, axis=0, method=method) + sum(np.quantile(data, q, axis=0, method=method) * (1 + q) for q in (0.2, 0.25, 0.5, 0.9))
+    np.testing.assert_allclose(one.compute(engine="cells"), want)

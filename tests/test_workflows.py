@@ -219,7 +219,69 @@ def test_metrics(spark):
     m = compare_segmentations(frame(spark, [[3, 3, 0], [4, 0, 0]]), frame(spark, [[1, 1, 0], [0, 0, 2]]), ("y", "x"))
     assert (m.precision, m.recall, m.f1) == (0.5, 0.5, 0.5)
     m = compare_segmentations(frame(spark, [[0, 0]]), frame(spark, [[0, 0]]), ("y", "x"))
-    assert m.precision == m.recall == 1.0
+    assert m.precision == m.recall == m.foreground_dice == 1.0 and m.mean_matched_iou == 0.0
+    good = frame(spark, [[1, 0]])
+    for bad, error in ((frame(spark, [[1, 0, 0]]), ValueError), (frame(spark, [[-1, 0]]), ValueError), (good.withColumn("value", good.value.cast("double")), TypeError)):
+        with pytest.raises(error):
+            compare_segmentations(good, bad, ("y", "x"))
+    for threshold in (0, 1.5):
+        with pytest.raises(ValueError):
+            compare_segmentations(good, good, ("y", "x"), threshold)
+
+
+def test_metrics_of_random_volumes(spark):
+    """Against a matching of all objects at once."""
+    import itertools
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    for _ in range(3):
+        p, r = rng.integers(0, 5, (6, 7)), rng.integers(0, 5, (6, 7))
+        p[:, 0], r[:, 0] = 9, 8
+        m = compare_segmentations(frame(spark, p), frame(spark, r), ("y", "x"), 0.2)
+        ps, rs = np.unique(p[p > 0]), np.unique(r[r > 0])
+        iou = np.array([[((p == a) & (r == b)).sum() / ((p == a) | (r == b)).sum() for b in rs] for a in ps])
+        iou = iou if len(ps) <= len(rs) else iou.T
+        best = max(itertools.permutations(range(iou.shape[1]), len(iou)), key=lambda c: sum(iou[i, j] for i, j in enumerate(c)))
+        kept = [iou[i, j] for i, j in enumerate(best) if iou[i, j] >= 0.2]
+        assert m.matched == len(kept) and abs(m.mean_matched_iou - np.mean(kept)) < 1e-9 and abs(m.precision - len(kept) / len(ps)) < 1e-9
+
+
+def test_conditions(spark):
+    from gridloom.run import Table
+
+    t = Table(spark.createDataFrame([(1, "a", 0.5), (2, "b", 1.5), (3, "c d", 2.5)], "n int, kind string, `a b` double"))
+    ids = lambda c: sorted(r.n for r in t.query(c).collect())
+    assert ids("n > 1 and kind == 'b'") == [2] and ids("1 < n <= 3") == [2, 3] and ids('kind in ["a", "c d"]') == [1, 3] and ids("kind not in ['a']") == [2, 3]
+    assert ids("(`a b` * 2 > 2) & (n < 3)") == [2]
+    assert ids("not n == 1 or -n == -1") == [1, 2, 3] and ids("kind = 'a'") == [1] and ids("kind LIKE '%d'") == [3] and ids("~(n == 2)") == [1, 3]
+    for bad in ("m > 1", "n.real > 1", "print(n)"):
+        with pytest.raises((KeyError, ValueError)):
+            t.query(bad)
+
+
+def test_plan_reports():
+    assert TimeWindowPlan(4, 1).validate(meta()) == partitions.Report(True)
+    late = TimeWindowPlan(50).validate(meta())
+    assert late.valid and len(late.warnings) == 1
+    for plan in (TimeWindowPlan(4, 4), TimeWindowPlan("2 h"), SpatialTilePlan({"q": 1}), SpatialTilePlan({"time": 0})):
+        assert not plan.validate(meta()).valid
+    at = SpatialTilePlan({"y": 2, "x": 3}).numbered(meta((5, 7), ("y", "x")))
+    assert [at(i) for i in range(9)] == SpatialTilePlan({"y": 2, "x": 3}).build(meta((5, 7), ("y", "x")))
+    rows = [Partition(str(i), ((i, i + 1), (0, 5)), ((i, i + 1), (0, 5)), ((0, 1), (0, 5))) for i in range(5)]
+    partitions._check_sorted(rows, (5, 5), [0, 1])
+    with pytest.raises(gl.PartitionValidationError):
+        partitions._check_sorted(rows[:-1], (5, 5), [0, 1])
+    with pytest.raises(gl.PartitionValidationError):
+        partitions._check_sorted([*rows, rows[0]], (5, 5), [0, 1])
+
+
+def test_a_persist_of_aligned_tiles_shuffles_nothing(movie, tmp_path):
+    """Only the report of one job; the arrays agree, stages included."""
+    made = ((movie - movie.mean()) * 2.0).persist(str(tmp_path / "b"), chunks=(4, 3, 4))
+    np.testing.assert_allclose(made.compute(), (MOVIE - MOVIE.mean()) * 2.0)
+    from gridloom.run import _block_axes
+
+    assert _block_axes(movie * 2.0, [type("P", (), {"output": ((0, 2), (0, 3), (0, 4))})]) == {"time", "y", "x"}
 
 
 def test_assignment_is_optimal():
@@ -267,7 +329,7 @@ def test_sources(tmp_path):
     with pytest.raises(ValueError):
         transport_options(cache="x")
     write_array(str(tmp_path / "z" / "a" / "data"), np.zeros((2, 2)), (1, 1))
-    bad = json.load(open(tmp_path / "z" / "a" / "data" / ".zarray")) | {"compressor": {"id": "blosc"}}
+    bad = json.load(open(tmp_path / "z" / "a" / "data" / ".zarray")) | {"compressor": {"id": "lzma"}}
     json.dump(bad, open(tmp_path / "z" / "a" / "data" / ".zarray", "w"))
     with pytest.raises(gl.UnsupportedBackendError):
         ZarrSource(str(tmp_path / "z"))
@@ -281,6 +343,71 @@ def test_sources(tmp_path):
         separate(str(tmp_path), [str(tmp_path / "z")])
 
 
+def blosc(data, width, codec, shuffle, block, whole):
+    """A frame as the format describes it."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+
+    pack = (lambda b: zlib.compress(b)) if codec == 3 else lambda b: pa.Codec({1: "lz4_raw", 2: "snappy", 4: "zstd"}[codec]).compress(b).to_pybytes()
+    starts, body = [], b""
+    count = -(-len(data) // block)
+    for k in range(count):
+        part = data[k * block : (k + 1) * block]
+        n = len(part) // width
+        if shuffle == 1:
+            part = np.frombuffer(part, np.uint8, n * width).reshape(n, width).T.tobytes() + part[n * width :]
+        elif shuffle == 4:
+            m = n - n % 8
+            bits = np.unpackbits(np.frombuffer(part, np.uint8, m * width).reshape(m, width), axis=1, bitorder="little")
+            part = np.packbits(bits.T, axis=1, bitorder="little").tobytes() + part[m * width :]
+        split = not whole and len(part) == block and width <= 16 and block // width >= 128
+        starts.append(16 + 4 * count + len(body))
+        for i in range(width if split else 1):
+            piece = part[i * (block // width) : (i + 1) * (block // width)] if split else part
+            packed = pack(piece)
+            packed = piece if len(packed) >= len(piece) else packed
+            body += struct.pack("<i", len(packed)) + packed
+    head = struct.pack(f"<{count}i", *starts) + body
+    return struct.pack("<BBBBIII", 2, 1, shuffle | (16 if whole else 0) | codec << 5, width, len(data), block, 16 + len(head)) + head
+
+
+def test_compressed_chunks(spark, tmp_path):
+    import struct
+
+    import pyarrow as pa
+    import zstandard
+
+    from gridloom.sources import codecs
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    for width, kind in ((1, "u1"), (2, "i2"), (4, "f4"), (8, "f8")):
+        data = np.concatenate([np.arange(700), rng.integers(0, 99, 531)]).astype(kind).tobytes()
+        for codec in (1, 2, 3, 4):
+            for shuffle in (0, 1, 4):
+                for block, whole in ((1024, True), (1024, False), (1 << 20, False)):
+                    assert codecs.decode(blosc(data, width, codec, shuffle, block, whole), "blosc") == data
+    raw = MOVIE.tobytes()
+    assert codecs.decode(zstandard.compress(raw), "zstd") == codecs.decode(struct.pack("<i", len(raw)) + pa.Codec("lz4_raw").compress(raw).to_pybytes(), "lz4") == raw
+    copied = struct.pack("<BBBBIII", 2, 1, 2, 4, len(raw), len(raw), 16 + len(raw)) + raw
+    assert codecs.decode(copied, "blosc") == raw
+    for bad in (copied[:-1], struct.pack("<BBBBIII", 2, 1, 0, 4, 8, 8, 20) + b"0000"):
+        with pytest.raises(ValueError):
+            codecs.decode(bad, "blosc")
+    root = str(tmp_path / "b.zarr")
+    write_object(root, "acquisition/movie", MOVIE, (10, 3, 4), rate=2.0)
+    folder = f"{root}/acquisition/movie/data"
+    meta_ = json.load(open(f"{folder}/.zarray")) | {"compressor": {"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1}}
+    json.dump(meta_, open(f"{folder}/.zarray", "w"))
+    with open(f"{folder}/0.0.0", "wb") as f:
+        f.write(blosc(raw, 4, 1, 1, 256, False))
+    source = ZarrSource(root)
+    np.testing.assert_array_equal(NamedArray(source.select(name="movie"), spark=spark).compute(), MOVIE)
+    counters = source.io_counters()
+    assert counters["responses"] == 2 and counters["bytes"] == os.path.getsize(f"{folder}/.zarray") + os.path.getsize(f"{root}/acquisition/movie/.zattrs")
+
+
 def test_archive_listing():
     base = "https://api.dandiarchive.org/api"
     pages = {"?page": {"results": [{"asset_id": "1", "path": "a.nwb", "size": 3, "metadata": {"digest": {"dandi:dandi-etag": "e", "dandi:sha2-256": "s"}}}], "next": f"{base}/p2"}, "p2": {"results": [{"asset_id": "2", "path": "b.nwb"}], "next": None}}
