@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Bytes of rows that go to a Python worker at a time. Texts may be long: a batch counted in rows has no bound.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_BYTES``, where they may be larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that is unset on one machine (a local master, as in tests) a fresh temporary folder is
     used; on a cluster it would be a folder of the driver alone, and is refused."""
+    bounded_batches(spark)
     context = spark.sparkContext
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()

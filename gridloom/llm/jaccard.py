@@ -85,7 +85,7 @@ def frequent_tokens(documents: DataFrame, k: int, floor: int, entries: int) -> t
                 token, count = token[count > 0], count[count > 0]
 
         for batch in batches:
-            for _, words, _ in chunks(batch, "text", 1 << 20):
+            for _, words, _ in chunks(batch, "text"):
                 for s in token_sets(words, k):
                     waiting.append(s)
                     waits += len(s)
@@ -169,7 +169,7 @@ def profiles(documents: DataFrame, k: int, threshold: float, frequent: np.ndarra
 
     def run(batches):
         for batch in batches:
-            for part, words, _ in chunks(batch, "text", 1 << 20):
+            for part, words, _ in chunks(batch, "text"):
                 n, one, two, signatures, sketch, priority = [], [], [], [], [], []
                 for s in token_sets(words, k):
                     n.append(len(s))
@@ -227,7 +227,7 @@ def sets_of(documents: DataFrame, k: int, wanted: Known) -> DataFrame:
         for batch in batches:
             ids = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
             batch = batch.filter(pa.array(wanted.holds(ids)))
-            for part, words, _ in chunks(batch, "text", 1 << 20):
+            for part, words, _ in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in token_sets(words, k)], pa.binary())], ["doc_id", "tokens"])
 
     ids = documents.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")

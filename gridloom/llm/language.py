@@ -169,7 +169,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         names = np.array([*(model.languages if model else []), "und"], object)
         for batch in batches:
-            for part, words, valid in chunks(batch, "text", 1 << 20):
+            for part, words, valid in chunks(batch, "text"):
                 n = part.num_rows
                 share = np.zeros((n, max(1, len(names) - 1)))
                 if model is not None and len(words.start):

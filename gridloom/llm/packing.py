@@ -96,6 +96,9 @@ class Encoder:
         self.keep, self.known, self.older = keep, {}, {}
         self.quick = same_ranks(path)
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def direct(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -122,7 +125,7 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """One for each worker process: later tasks find its chunks."""
+    """One for each worker process; tasks leave its chunks empty, as other stages use the same process."""
     return Encoder(path)
 
 
@@ -132,7 +135,9 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        encode = encoder(path).encode
+        known = encoder(path)
+        encode = known.encode
+        known.forget()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             i = 0
@@ -155,6 +160,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id:
                         at = to
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
                 i += len(group)
+        known.forget()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

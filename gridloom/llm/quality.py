@@ -216,27 +216,28 @@ def measures(words: Words, field: Field | None, share: float):
     return [*counts, failed, ~failed & (content >= share), content]
 
 
-def judge(documents: DataFrame, field: Field | None, share: float = 0.5) -> DataFrame:
-    """The measures of every row beside its columns other than ``text``; one pass, no shuffle."""
+def judge(documents: DataFrame, field: Field | None, share: float = 0.5, with_text: bool = False) -> DataFrame:
+    """The measures of every row beside its other columns (and ``text``, if asked); one pass, no shuffle."""
     names = [c.split()[0] for c in COUNTS.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-    kept = [c for c in documents.columns if c != "text"]
+    kept = [c for c in documents.columns if c != "text" or with_text]
 
     def run(batches):
         for batch in batches:
-            for part, words, _ in chunks(batch, "text", 1 << 20):
+            for part, words, _ in chunks(batch, "text"):
                 values = measures(words, field, share)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(v, k) for v, k in zip(values, kinds)]], [*kept, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in kept)
     return documents.mapInArrow(run, f"{schema}, {COUNTS}")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, share: float = 0.5) -> DataFrame:
     """The documents (all columns) that are kept."""
     names = documents.columns
-    packed = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    return judge(packed, learn(documents, labels), share).where("kept").select(*[F.col("doc")[c].alias(c) for c in names])
+    packed = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("doc"))
+    good = judge(packed, learn(documents, labels), share, with_text=True).where("kept")
+    return good.select(*["text" if c == "text" else F.col("doc")[c].alias(c) for c in names])
 
 
 def op2_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

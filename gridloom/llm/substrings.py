@@ -91,7 +91,7 @@ def anchor_counts(documents: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, words, _ in chunks(batch, "text", 1 << 20):
+            for _, words, _ in chunks(batch, "text"):
                 value, times = np.unique(_Runs(words, window, anchor, None).v, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(value), pa.array(np.minimum(times, 2).astype(np.int32))], ["h", "n"])
 
@@ -128,7 +128,7 @@ def _runs(documents: DataFrame, window: int, anchor: int, anchors: Known) -> Dat
 
     def run(batches):
         for batch in batches:
-            for part, words, _ in chunks(batch, "text", 1 << 20):
+            for part, words, _ in chunks(batch, "text"):
                 r = _Runs(words, window, anchor, anchors)
                 yield from _rows(part, words, r.begin, r.stop - r.begin, r.hash(), r.v)
 
@@ -141,7 +141,7 @@ def _windows(documents: DataFrame, window: int, anchor: int, open_: Known, singl
 
     def run(batches):
         for batch in batches:
-            for part, words, _ in chunks(batch, "text", 1 << 20):
+            for part, words, _ in chunks(batch, "text"):
                 r = _Runs(words, window, anchor, open_)
                 if not len(r.begin):
                     continue
@@ -253,7 +253,7 @@ class _Shard:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         is_text = rows.column("is_text").to_numpy(zero_copy_only=False).astype(bool)
         places, docs = rows.filter(pa.array(~is_text)), rows.filter(pa.array(is_text))
-        cut = list(chunks(docs, "text", 1 << 20))
+        cut = list(chunks(docs, "text"))
         hashes = [words.hashes() for _, words, _ in cut]
         texts = [h[words.first[t] : words.first[t + 1]] for h, (_, words, _) in zip(hashes, cut) for t in range(len(words.first) - 1)]
         keys = docs.column("key").to_numpy(zero_copy_only=False)

@@ -23,14 +23,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; a table of up to 4 M entries is kept."""
+    """base**0 .. base**(n-1) modulo 2**64; a table of up to 1 M entries is kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 19) + 1)
         have = np.full(size, base % 2**64, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
@@ -97,7 +97,7 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(pow(Q, -1, 2**64), n - k + 1))
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):
     """Cuts a batch into slices of about ``limit`` bytes of text (a longer text stands alone);
     yields (slice, Words, valid) with null texts as empty ones."""
     texts = batch.column(column)
