@@ -259,10 +259,22 @@ def _segmentations(spark, sf_dir):
     return p, r
 
 
-@query()
+@query(
+    """, l AS (SELECT y, x, CASE WHEN v > 0.1::DOUBLE THEN 1 + y//64 ELSE 0 END p, CASE WHEN v > 0.05::DOUBLE THEN 1 + (y + 16)//64 ELSE 0 END r FROM e),
+s AS (SELECT (SELECT count(DISTINCT p) FROM l WHERE p > 0) np, (SELECT count(DISTINCT r) FROM l WHERE r > 0) nr, (SELECT count(*) FROM l WHERE p > 0) vp, (SELECT count(*) FROM l WHERE r > 0) vr, (SELECT count(*) FROM l WHERE p > 0 AND r > 0) b),
+i AS (SELECT k, (SELECT count(*) FROM l WHERE p = k AND r = k) / (SELECT count(*) FROM l WHERE p = k OR r = k) iou FROM (SELECT DISTINCT p k FROM l WHERE p > 0)),
+m AS (SELECT count(*) n, avg(iou) a FROM i WHERE iou >= 0.2)
+SELECT round(n/np, 9) AS precision, round(n/nr, 9) AS recall, round(2*(n/np)*(n/nr)/(n/np + n/nr), 9) AS f1, round(a, 9) AS mean_iou, round(2*b/(vp + vr), 9) AS dice, np AS predicted, nr AS reference FROM s, m""",
+    E.rstrip(),
+)
 def segmentation_metrics(spark, sf_dir):
-    m = compare_segmentations(*_segmentations(spark, sf_dir), ("y", "x"), 0.01)
-    return spark.createDataFrame([(m.precision, m.recall, m.f1, m.mean_matched_iou, m.foreground_dice)], "precision double, recall double, f1 double, mean_iou double, dice double")
+    """Bands of 64 rows against bands that lie 16 rows higher: each shares most with the one of its own number,
+    which is hence the best matching."""
+    cells = doubles(spark, sf_dir).cells()
+    band = lambda low, shift: cells.select("y", "x", F.when(F.col("value") > low, 1 + F.floor((F.col("y") + shift) / 64)).otherwise(0).cast("long").alias("value"))
+    m = compare_segmentations(band(0.1, 0), band(0.05, 16), ("y", "x"), 0.2)
+    made = spark.createDataFrame([(m.precision, m.recall, m.f1, m.mean_matched_iou, m.foreground_dice, m.predicted, m.reference)], "precision double, recall double, f1 double, mean_iou double, dice double, predicted long, reference long")
+    return rounded(made, "precision", "recall", "f1", "mean_iou", "dice")
 
 
 @query("""SELECT d.t::BIGINT AS day, u.user_id AS user_id, coalesce(g.cents, 0)::BIGINT AS cents FROM (SELECT unnest(range(0, 30)) t) d CROSS JOIN (SELECT DISTINCT user_id FROM events) u
@@ -294,11 +306,14 @@ def table_query(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below the session's checkpoint folder, else temporary."""
+    """A fresh folder that driver and executors share: below the session's checkpoint folder, else (on one
+    machine) temporary."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=name) + "/out"
 
 
@@ -328,29 +343,262 @@ def function_table(spark, sf_dir):
     return _windows_run(spark, sf_dir, _folder(spark, "windows")).execute().table().df
 
 
-@query()
+@query("SELECT true AS valid, ceil(count(*)/1000.0)::BIGINT AS partitions, 2::BIGINT AS attempts, 'complete' AS status FROM events", "")
 def verify_and_resume(spark, sf_dir):
     """A finished run resumed computes nothing, and verifies."""
     folder = _folder(spark, "resume")
     done = _windows_run(spark, sf_dir, folder).execute()
     _windows_run(spark, sf_dir, folder).execute()
     report, record = done.verify(), done.record
-    return spark.createDataFrame([(report["valid"], report["partitions"], record["attempts"])], "valid boolean, partitions int, attempts int")
+    return spark.createDataFrame([(report["valid"], report["partitions"], record["attempts"], done.status)], "valid boolean, partitions long, attempts long, status string")
 
 
-@query()
+@query("SELECT ceil(count(*)/1000.0)::BIGINT AS tasks, 4*8*least(1000, count(*))::BIGINT AS memory, 1.0::DOUBLE AS amplification, 64::BIGINT AS identity FROM events", "")
 def workflow_plan(spark, sf_dir):
     """Preflight numbers of a windowed workflow, without reading the values."""
-    p = _windows_run(spark, sf_dir, "/tmp/gridloom-plan-only").plan
-    return spark.createDataFrame([(p.workflow_id, p.task_count, p.memory_per_task, float(p.read_amplification), p.chunks_touched)], "workflow_id string, tasks int, memory long, amplification double, chunks long")
+    p = _windows_run(spark, sf_dir, _folder(spark, "plan")).plan
+    return spark.createDataFrame([(p.task_count, p.memory_per_task, float(p.read_amplification), len(p.workflow_id))], "tasks long, memory long, amplification double, identity long")
 
 
-@query()
+@query("SELECT x, round(avg(v), 9) AS value, true AS same FROM e GROUP BY x")
 def portable_expression(spark, sf_dir):
     """An expression rebuilt from its JSON, with the same identity and rows."""
     a = doubles(spark, sf_dir)
-    e = expr.from_dict(expr.to_dict(a.mean("y").expression))
-    return NamedArray(a.selection, e, spark).cells().withColumn("identity", F.lit(expr.identity(e)))
+    first = a.mean("y").expression
+    e = expr.from_dict(expr.to_dict(first))
+    return rounded(NamedArray(a.selection, e, spark).cells(), "value").withColumn("same", F.lit(expr.identity(e) == expr.identity(first)))
+
+
+@query("SELECT time, time // 1000 AS window_no, min(time) OVER w = time AS opens, value FROM (SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS time, value FROM events) WINDOW w AS (PARTITION BY time // 1000)", "")
+def repaired_array(spark, sf_dir):
+    """A persisted array of which outputs are damaged and lost: what is broken is computed again, and all of it read."""
+    import os
+
+    from gridloom.run import open_array, persist_workflow
+    from gridloom.storage.outputs import ZarrOutput
+
+    folder = _folder(spark, "repaired")
+    a = series(spark, sf_dir)
+    made = persist_workflow(a, ZarrOutput(folder), chunks=(1000,)).execute()
+    root = made.root
+    keys = made.keys()
+    os.remove(f"{root}/arrays/result/0")
+    os.remove(f"{root}/manifests/{keys[-1]}.json")
+    wrong = set(made.verify()["problems"])
+    if wrong != {keys[0], keys[-1]} or made.status == "complete" and len(keys) > 1:
+        raise AssertionError(f"damage went unnoticed: {wrong}")
+    persist_workflow(a, ZarrOutput(folder), chunks=(1000,)).execute()
+    cells = open_array(folder, spark=spark).cells()
+    return cells.select("time", F.floor(F.col("time") / 1000).alias("window_no"), (F.col("time") % 1000 == 0).alias("opens"), "value")
+
+
+def _store(spark, name):
+    """A store of one small movie and its labels, closed-form values: 10 x 3 x 4 numbers in order."""
+    from gridloom.sources.zarr import local_path, write_object
+
+    root = local_path(_folder(spark, name))
+    movie = np.arange(120, dtype="f4").reshape(10, 3, 4)
+    write_object(root, "acquisition/movie", movie, (2, 3, 4), rate=2.0, attributes={"neurodata_type": "ImageSeries", "type_hierarchy": ["TimeSeries"]}, compressor="zlib")
+    write_object(root, "acquisition/other", movie[:2], (1, 3, 4), rate=1.0)
+    write_object(root, "processing/irregular", movie[:4], (2, 3, 4), timestamps=[0.0, 0.4, 1.1, 2.0])
+    write_object(root, "processing/labels", np.array([[1, 1, 0, 0], [1, 1, 2, 2], [0, 0, 2, 2]], "u4"), (3, 2), attributes={"axes": ["y", "x"]})
+    return root
+
+
+GRID = "WITH g AS (SELECT t::BIGINT AS time, y::BIGINT AS y, x::BIGINT AS x, (t*12 + y*4 + x)::FLOAT AS value FROM (SELECT unnest(range(10)) t) CROSS JOIN (SELECT unnest(range(3)) y) CROSS JOIN (SELECT unnest(range(4)) x)) "
+
+
+@query("SELECT time, y, x, value FROM g WHERE time BETWEEN 2 AND 6", GRID)
+def zarr_scan(spark, sf_dir):
+    """load, select by name, a bounded scan of chunks."""
+    from gridloom.run import load
+
+    return load(_store(spark, "scan"), name="movie", spark=spark)[2:7].cells().selectExpr("time + 2 AS time", "y", "x", "value")
+
+
+@query("SELECT * FROM (VALUES ('/acquisition/movie', 'movie', 3::BIGINT, 120::BIGINT, 'time,y,x'), ('/acquisition/other', 'other', 3, 24, 'time,y,x'), ('/processing/irregular', 'irregular', 3, 48, 'time,y,x'), ('/processing/labels', 'labels', 2, 12, 'y,x')) v(path, name, rank, cells, axes)", "")
+def source_catalogue(spark, sf_dir):
+    """inspect: what a store holds, from its metadata alone."""
+    from gridloom.sources import open_source
+
+    table = open_source(_store(spark, "catalogue")).objects_table(spark)
+    return table.select("path", "name", F.size("shape").cast("long").alias("rank"), F.aggregate("shape", F.lit(1).cast("long"), lambda a, b: a * b).alias("cells"), F.concat_ws(",", "axes").alias("axes"))
+
+
+def _outcomes(spark, cases: dict) -> DataFrame:
+    """(name, outcome): what each call gives, or the name of its error."""
+    rows = []
+    for name, call in cases.items():
+        try:
+            rows.append((name, str(call())))
+        except Exception as e:  # the outcome is the error
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "name string, outcome string")
+
+
+def _values(**cases: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in cases.items()) + ") v(name, outcome)"
+
+
+@query(_values(by_name="/acquisition/movie", by_path="/acquisition/other", by_type="/acquisition/movie", missing="ObjectNotFoundError", ambiguous="AmbiguousSelectionError", by_attribute="/processing/labels", nothing="SourceResolutionError", version="ValueError", archive="DANDI:000042@0.1", conflict="ValueError", hdf5="UnsupportedBackendError"), "")
+def semantic_selection(spark, sf_dir):
+    """Queries for objects and addresses of sources: what is found, and which error each failure is."""
+    from gridloom.sources import open_source
+
+    root = _store(spark, "selection")
+    source = open_source(root)
+    path = lambda **q: source.select(**q).metadata.path
+    return _outcomes(spark, {
+        "by_name": lambda: path(name="movie"), "by_path": lambda: path(path="/acquisition/other/"), "by_type": lambda: path(neurodata_type="TimeSeries"), "missing": lambda: path(name="none"),
+        "ambiguous": lambda: source.select(), "by_attribute": lambda: path(where={"axes": ["y", "x"]}), "nothing": lambda: open_source(root + "/nothing"), "version": lambda: open_source(root, version="1"),
+        "archive": lambda: (lambda i: f"{i.uri}@{i.version}")(open_source("DANDI:42@0.1").identity), "conflict": lambda: open_source("DANDI:42@0.1", version="0.2"), "hdf5": lambda: open_source("none.nwb"),
+    })
+
+
+@query("SELECT asset_id, path, size, checksum FROM (VALUES ('1', 'a.nwb', 3::BIGINT, 'sha2-256:s'), ('2', 'b.nwb', NULL, NULL)) v(asset_id, path, size, checksum)", "")
+def archive_listing(spark, sf_dir):
+    """All pages of an archive's assets, through an injected fetch function."""
+    from gridloom.sources.archive import API, ArchiveSource
+
+    pages = {"one": {"results": [{"asset_id": "1", "path": "a.nwb", "size": 3, "metadata": {"digest": {"dandi:sha2-256": "s"}}}], "next": f"{API}/two"}, "two": {"results": [{"asset_id": "2", "path": "b.nwb"}], "next": None}}
+    source = ArchiveSource("42", fetch=lambda url: pages["two" if url.endswith("two") else "one"])
+    return spark.createDataFrame([(a.asset_id, a.path, a.size, a.checksum) for a in source.assets()], "asset_id string, path string, size long, checksum string")
+
+
+@query("SELECT CASE min(time) WHEN 0 THEN 0.0 WHEN 4 THEN 1.5 ELSE 3.5 END::DOUBLE AS start, least(9, max(time) + 1) / 2.0::DOUBLE AS stop, (least(9, max(time) + 1) - greatest(0, min(time) - 1) + 1)::BIGINT AS samples FROM (SELECT DISTINCT time FROM g) GROUP BY time // 4", GRID)
+def time_series_windows(spark, sf_dir):
+    """A time-series function on windows of 4 samples that overlap by 1, with the times of each."""
+    from gridloom.run import load, run
+    from gridloom.storage.outputs import ParquetOutput
+
+    movie = load(_store(spark, "series"), name="movie", spark=spark)
+    adapter = kernels.TimeSeriesAdapter(_times_summary, kernels.OutputSchema("table", "s"), requires_overlap=1)
+    out = run(selection=movie.selection, adapter=adapter, partition=TimeWindowPlan(4, 1), output=ParquetOutput(_folder(spark, "series")), spark=spark, execute=True)
+    return out.table().df.select("start", "stop", F.col("samples").cast("long").alias("samples"))
+
+
+def _times_summary(series):
+    t, v = series
+    return {"start": float(t[0]), "stop": float(t[-1]), "samples": len(v)}
+
+
+def _bright(block, level=50):
+    from gridloom.operators.segmentation import objects_of
+
+    found = (block > level).astype("u8")
+    return found, objects_of(found)
+
+
+@query("SELECT time, y, x, CASE WHEN value > 50 THEN ((time // 4 + 1)::BIGINT << 32) + 1 ELSE 0 END::BIGINT AS label FROM g", GRID)
+def segmentation_run(spark, sf_dir):
+    """A segmentation function on tiles with a halo: labels unique across tiles, written and read again."""
+    from gridloom.operators.segmentation import SegmentationAdapter
+    from gridloom.run import load
+    from gridloom.storage.outputs import SegmentationOutput
+
+    movie = load(_store(spark, "segments"), name="movie", spark=spark)
+    work = movie.segment(SegmentationAdapter(_bright), tile={"time": 4}, halo={"time": 1}, output=SegmentationOutput(_folder(spark, "segments")), execute=True)
+    return work.array("labels").cells().select("time", "y", "x", F.col("value").cast("long").alias("label"))
+
+
+@query("SELECT time, c.cell::BIGINT AS cell, avg(value)::FLOAT AS value FROM g JOIN (VALUES (0, 0, 1), (0, 1, 1), (1, 0, 1), (1, 1, 1), (1, 2, 2), (1, 3, 2), (2, 2, 2), (2, 3, 2)) c(y, x, cell) ON c.y = g.y AND c.x = g.x GROUP BY ALL", GRID)
+def stored_traces(spark, sf_dir):
+    """Traces of labelled cells, window by window, written and read again."""
+    from gridloom.run import load
+
+    root = _store(spark, "traces")
+    movie, found = (load(root, name=n, spark=spark) for n in ("movie", "labels"))
+    made = movie.extract_traces(found, output=_folder(spark, "traces")).matrix()
+    rows = [(t, c + 1, float(made[t, c])) for t in range(made.shape[0]) for c in range(made.shape[1])]  # a fixture of 20 numbers
+    return spark.createDataFrame(rows, "time long, cell long, value float")
+
+
+@query(_values(gap="PartitionValidationError", overlap="PartitionValidationError", twice="PartitionValidationError", step="PartitionValidationError", rank="PartitionValidationError", bounds="PartitionValidationError", trim="PartitionValidationError", chunks="PartitionValidationError", halo="PartitionValidationError", reduced="PartitionValidationError", whole="None", asset="1", session="1", json="True", report="True,1", touched="3"), "")
+def partition_rules(spark, sf_dir):
+    """The proofs that partitions tile an array: malformed ones are refused, each for its own reason."""
+    from gridloom.plans import partitions as P
+
+    meta = series(spark, sf_dir).metadata
+    n = meta.shape[0]
+
+    def p(key, a, b, trim=None):
+        return P.Partition(key, ((a, b),), ((a, b),), (trim or (0, b - a),))
+
+    good, cover, shape = [p("a", 0, 5), p("b", 5, 10)], P.check_cover, (10,)
+    late = TimeWindowPlan(n + 1).validate(meta)
+    return _outcomes(spark, {
+        "gap": lambda: cover([p("a", 0, 4), p("b", 5, 10)], shape), "overlap": lambda: cover([p("a", 0, 6), p("b", 5, 10)], shape), "twice": lambda: P.check_descriptors([p("a", 0, 5), p("a", 5, 10)], shape),
+        "step": lambda: P.Partition.from_dict({"key": "a", "read": [[0, 4, 2]], "output": [[0, 4]], "trim": [[0, 4]]}), "rank": lambda: P.check_descriptors([P.Partition("a", (), (), ())], shape),
+        "bounds": lambda: P.check_descriptors([p("a", 0, 11)], shape), "trim": lambda: P.check_descriptors([p("a", 0, 5, (1, 5))], shape), "chunks": lambda: P.check_chunks(good, (3,), [0]),
+        "halo": lambda: P.check_halo(TimeWindowPlan(4), {"time": 2}), "reduced": lambda: P.check_reduced(good, meta, meta.axes), "whole": lambda: cover(good, shape),
+        "asset": lambda: len(P.AssetPlan().build(meta)), "session": lambda: len(P.SessionPlan().build(meta)), "json": lambda: P.Partition.from_dict(good[1].to_dict()) == good[1],
+        "report": lambda: f"{late.valid},{len(late.warnings)}", "touched": lambda: P.touched_chunks(((3, 9),), ((0, 10),), (4,)),
+    })
+
+
+@query(_values(gib=str(2 << 30), kb="1500", half="50", workers="4", none="MemoryError", word="ValueError", requests="384", unknown="None", guard="MemoryError"), "")
+def memory_rules(spark, sf_dir):
+    """Byte counts, budgets, workers that fit, requests of a transport, and results too large for the driver."""
+    from gridloom.plans import memory as M
+    from gridloom.plans.execution import transport_bytes
+
+    a = series(spark, sf_dir)
+    return _outcomes(spark, {
+        "gib": lambda: M.parse_bytes("2 GiB"), "kb": lambda: M.parse_bytes("1.5 KB"), "half": lambda: M.resolve_budget(100).task_bytes, "workers": lambda: M.workers(M.resolve_budget("1 GiB"), 1 << 20, None, 4),
+        "none": lambda: M.workers(M.resolve_budget(100), 1000, None, 4), "word": lambda: M.parse_bytes("much"), "requests": lambda: transport_bytes(3, 100, 64), "unknown": lambda: transport_bytes(None, 1, 1), "guard": lambda: (a + 1).compute("1 KB"),
+    })
+
+
+@query(_values(inside="OutputConflictError", root="OutputConflictError", other="ProvenanceMismatchError", append="ValueError", unfinished="IncompletePartitionError", reopened="complete", same="True", changed="False", escape="True"), "")
+def storage_rules(spark, sf_dir):
+    """Outputs stay apart from inputs and from other workflows; a changed manifest is noticed."""
+    from gridloom.run import load, open_result, persist_workflow
+    from gridloom.storage.manifest import manifest_path, problem, read_json
+    from gridloom.storage.outputs import ZarrOutput, guard_overwrite
+
+    root, out = _store(spark, "rules"), ZarrOutput(_folder(spark, "rules"))
+    movie = load(root, name="movie", spark=spark)
+    first = persist_workflow(movie * 2, out).execute()
+    before = first.content_identity()
+    data = read_json(manifest_path(out.root, first.keys()[0]))
+
+    def identity_without_one():
+        import os
+
+        os.remove(manifest_path(out.root, first.keys()[1]))
+        return first.content_identity() == before
+
+    return _outcomes(spark, {
+        "inside": lambda: movie.persist(root + "/inside"), "root": lambda: guard_overwrite("/"), "other": lambda: movie.persist(out), "append": lambda: ZarrOutput("x", "append"), "unfinished": lambda: open_result(root, spark),
+        "reopened": lambda: open_result(out.uri, spark).status, "same": lambda: open_result(out.uri, spark).content_identity() == before, "changed": identity_without_one,
+        "escape": lambda: "leaves" in problem(out.root, data | {"outputs": {"result:0": "../x"}}, first.workflow_id, ["result"]),
+    })
+
+
+@query(_values(reproduce="0", verify="0", status="0", plan="0", broken="2", again="WorkflowSpecError", values="119.0"), "")
+def workflow_files(spark, sf_dir):
+    """A portable workflow file: written, planned, reproduced and verified by the command line."""
+    import contextlib
+    import io
+
+    from gridloom.cli import main
+    from gridloom.run import load, open_array
+    from gridloom.spec import WorkflowSpec
+    from gridloom.storage.outputs import ZarrOutput
+
+    out, root = ZarrOutput(_folder(spark, "spec")).root, _store(spark, "spec")
+    spec = WorkflowSpec.from_array(load(root, name="movie", spark=spark).max("time"), out)
+    path = root + "-workflow.json"
+    spec.to_json(path)
+
+    def command(*words):
+        with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+            return main(list(words))
+
+    return _outcomes(spark, {
+        "plan": lambda: command("plan", path), "reproduce": lambda: command("reproduce", path), "verify": lambda: command("verify", out), "status": lambda: command("status", out), "broken": lambda: command("reproduce", path + "x"),
+        "again": lambda: spec.to_json(path), "values": lambda: open_array(out, spark=spark).compute().max(),
+    })
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
