@@ -34,6 +34,8 @@ from gridloom.llm.common import checkpoint, numbered, table
 CHUNK = re.compile(r"\s?\S+|\s+(?=\s\S)|\s+")
 # White space to Python's \s but not to the tokenizer's.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+# The quick encoder's pattern can't go back over much more white space than this.
+LONG_SPACE = re.compile(r"\s{1000}")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -51,18 +53,25 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def same_ranks(path: str):
-    """An encoder of single ASCII chunks with the file's own vocabulary, by a library that is quicker on short
-    strings. None unless it provably gives the same ids.
-
-    The file must be a plain byte-level one whose ids follow its merges: then both join the pair of least id first,
-    the leftmost of equal ones. They could differ only where the quick one joins a pair that is no merge but spells a token.
-    Take the first such join in a chunk, of x and y to z: all joins within z's bytes up to there are
-    merges, in the order that z alone would take them, so that the file's model would leave z alone at x, y.
-    Hence the two agree where the model encodes the spelling of every token as that token, which is tried here for all of them."""
+def odd_classes() -> str:
+    """Code points (as a pattern of one of them, or empty) that the two libraries put in different classes of the
+    vocabulary's pattern: letters, digits, white space. Their tables follow different versions of Unicode."""
     import tiktoken
-    from tokenizers import Tokenizer
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    points = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    odd: set[str] = set()
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        single = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        mine = bytes(single._core_bpe.encode_ordinary(points)).decode()
+        theirs = Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(points)
+        odd |= set(mine) ^ {c for run, _ in theirs for c in run}
+    return f"[{''.join(map(re.escape, sorted(odd)))}]" if odd else ""
 
+
+def _quick_model(path: str):
+    """(vocabulary without special tokens, byte of each of its characters) of a plain byte-level file, else None."""
     model = json.loads(open(path, encoding="utf-8").read())
     if model["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model["normalizer"]:
         return None
@@ -71,30 +80,58 @@ def same_ranks(path: str):
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     special = {t["content"] for t in model["added_tokens"]}
-    vocabulary = {k: v for k, v in model["model"]["vocab"].items() if k not in special}
-    joined = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
-    if joined != sorted(set(joined)) or not all(c in byte for k in vocabulary for c in k) or not all(c in vocabulary for c in byte):
+    return model, {k: v for k, v in model["model"]["vocab"].items() if k not in special}, byte
+
+
+@lru_cache(4)
+def same_ranks(path: str) -> str | None:
+    """Whether a library that is quicker provably gives the ids of the vocabulary's own model: None if not, else a
+    pattern of the code points that texts for it mustn't hold (empty: none). Proved once, on the driver.
+
+    The file must be a plain byte-level one whose ids follow its merges: then both join the pair of least id first,
+    the leftmost of equal ones. They could differ only where the quick one joins a pair that is no merge but spells a token.
+    Take the first such join in a word, of x and y to z: all joins within z's bytes up to there are
+    merges, in the order that z alone would take them, so that the file's model would leave z alone at x, y.
+    Hence the two agree on a word where the model encodes the spelling of every token as that token, which is tried here for
+    all of them. Both cut texts into words by one pattern, so that only code points of different classes can part them."""
+    from tokenizers import Tokenizer
+
+    found = _quick_model(path)
+    if not found:
+        return None
+    model, known, byte = found
+    joined = [known["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+    if joined != sorted(set(joined)) or not all(c in byte for k in known for c in k) or not all(c in known for c in byte):
         return None
     alone = Tokenizer.from_str(json.dumps({**model, "added_tokens": [], "pre_tokenizer": None, "post_processor": None, "decoder": None}))
-    tokens = list(vocabulary)
-    if any(e.ids != [vocabulary[t]] for t, e in zip(tokens, alone.encode_batch_fast(tokens, add_special_tokens=False))):
+    tokens = list(known)
+    if any(e.ids != [known[t]] for t, e in zip(tokens, alone.encode_batch_fast(tokens, add_special_tokens=False))):
         return None
+    return odd_classes()
+
+
+def quick_encoder(path: str):
+    import tiktoken
+
+    _, known, byte = _quick_model(path)
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    return tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in vocabulary.items()}, special_tokens={})._core_bpe.encode_ordinary
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in known.items()}, special_tokens={})._core_bpe.encode_ordinary
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. Chunks of text that tokens can't cross are encoded
-    once and kept in two generations of up to ``keep``: those not met again while the younger one fills go."""
+    """Token ids of texts as little-endian 32-bit bytes. ``odd`` is what ``same_ranks`` says of the file: texts without such code
+    points, special tokens and long white space go through the quick encoder as a whole. Of others, chunks that tokens can't
+    cross are encoded once and kept in two generations of up to ``keep``: those not met again while the younger one fills go."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, odd: str | None = None, keep: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.known, self.older = keep, {}, {}
-        self.quick = same_ranks(path)
+        self.odd = re.compile(odd) if odd else None
+        self.quick = None if odd is None else quick_encoder(path)
 
     def forget(self) -> None:
         self.known, self.older = {}, {}
@@ -103,39 +140,47 @@ class Encoder:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(s in t for s in self.special) and not any(c in t for c in ODD) for t in texts]
-        parts = [CHUNK.findall(t) if p else None for t, p in zip(texts, plain)]
+        out: list[bytes] = [b""] * len(texts)
+        parts = {}
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                out[i] = self.direct(t)
+            elif self.quick and not LONG_SPACE.search(t) and (not self.odd or t.isascii() or not self.odd.search(t)):
+                out[i] = _bytes(self.quick(t))
+            elif any(c in t for c in ODD):
+                out[i] = self.direct(t)
+            else:
+                parts[i] = CHUNK.findall(t)
+        if not parts:
+            return out
         if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
-        known, older, quick = self.known, self.older, self.quick
-        new = set().union(*(p for p in parts if p)).difference(known)
+        known, older = self.known, self.older
+        new = set().union(*parts.values()).difference(known)
         met = older.keys() & new
         known.update((c, older[c]) for c in met)
-        new -= met
-        if quick:
-            for c in new:
-                if c.isascii():
-                    known[c] = _bytes(quick(c))
-            new = [c for c in new if not c.isascii()]
-        if new:
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = _bytes(e.ids)
-        return [self.direct(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts)]
+        new = [*(new - met)]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            known[c] = _bytes(e.ids)
+        for i, p in parts.items():
+            out[i] = b"".join(map(known.__getitem__, p))
+        return out
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, odd: str | None = None) -> Encoder:
     """One for each worker process; tasks leave its chunks empty, as other stages use the same process."""
-    return Encoder(path)
+    return Encoder(path, odd)
 
 
 def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, checksum of its ids."""
     end = np.array([end_id], "<u4").tobytes()
+    odd = same_ranks(path)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        known = encoder(path)
+        known = encoder(path, odd)
         encode = known.encode
         known.forget()
         for batch in batches:

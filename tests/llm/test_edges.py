@@ -391,18 +391,23 @@ def test_packing(docs, none):
 
 
 def test_encoder_agrees_with_the_tokenizer():
-    encoder = packing.Encoder(packing.vocabulary(), keep=50)
-    texts = ["a  b\n\n c", " lead", "trail  ", "don't we'll", "<|endoftext|> x", "x\x1cy   z", "漢字 émé 12½", "\r\n\t x", ""]
+    path = packing.vocabulary()
+    for encoder in (packing.Encoder(path, keep=50), packing.Encoder(path, packing.same_ranks(path)), packing.Encoder(path, "[é漢]")):
+        check_encoder(encoder)
+
+
+def check_encoder(encoder):
+    texts = ["a  b\n\n c", " lead", "trail  ", "don't we'll", "<|endoftext|> x", "x\x1cy   z", "漢字 émé 12½", "\r\n\t x", "", "x" + " " * 5000 + "é", "\n" * 999 + "q", "a" * 5000 + " \x1c" * 2000 + "b"]
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_the_quick_encoder_agrees_on_all_kinds_of_chunks():
     rng = np.random.Generator(np.random.PCG64(31))
-    encoder = packing.Encoder(packing.vocabulary())
+    encoder = packing.Encoder(packing.vocabulary(), packing.same_ranks(packing.vocabulary()))
     assert encoder.quick
     ascii_ = "".join(map(chr, [9, 10, 13, *range(32, 127)]))
-    pools = [ascii_, "ab", "the and", "aA1 .'", "==--__  ", "0123456789", "\r\n \t"]
+    pools = [ascii_, "ab", "the and", "aA1 .'", "==--__  ", "0123456789", "\r\n \t", "é漢٣²½ '\u0301\u00a0\u0085\u2028\u3000\u200b😀𝟘", "".join(map(chr, [*range(0x20, 0xD800, 7), *range(0xE000, 0x20000, 13)]))]
     texts = ["".join(rng.choice(list(pools[i % len(pools)]), int(rng.integers(1, 60)))) for i in range(7000)]
     got = encoder.encode(texts)
     assert got == [packing._bytes(e.ids) for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
