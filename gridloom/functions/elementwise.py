@@ -31,7 +31,7 @@ def _minus_zero(x: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    zero = F.when((a == 0) | F.isnan(a), NAN).when((a > 0) == _minus_zero(b), -INF).otherwise(INF)
+    zero = F.when((a == 0) | F.isnan(a), NAN).when((a > 0) == _minus_zero(b), -INF).when(a.isNotNull(), INF)  # null: null
     return F.when(b == 0, zero).otherwise(a / b)
 
 

@@ -25,13 +25,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cube(spark: SparkSession, sf_dir: str) -> NamedArray:
+def cube(spark: SparkSession, sf_dir: str, rows: int | None = None) -> NamedArray:
+    """As many rows as the largest id asks for (or ``rows``): ids may leave gaps. Null and short vectors have
+    null cells, as in the SQL."""
     df = read(spark, sf_dir, "embeddings")
-    return from_vectors(df, "vec_id", "embedding", ("y", "x"), (df.count(), DIM), "f4", uri=f"{sf_dir}/embeddings.parquet", chunks=(64, 16))
+    if rows is None:
+        rows = df.agg(F.greatest(F.max("vec_id") + 1, F.lit(0))).first()[0]
+    padded = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.get("embedding", i))
+    df = df.withColumn("embedding", F.when(F.size("embedding") >= DIM, F.col("embedding")).otherwise(padded))
+    return from_vectors(df, "vec_id", "embedding", ("y", "x"), (rows, DIM), "f4", uri=f"{sf_dir}/embeddings.parquet", chunks=(64, 16))
 
 
-def doubles(spark: SparkSession, sf_dir: str) -> NamedArray:
-    return cube(spark, sf_dir).astype("f8")
+def doubles(spark: SparkSession, sf_dir: str, rows: int | None = None) -> NamedArray:
+    return cube(spark, sf_dir, rows).astype("f8")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> NamedArray:
@@ -61,9 +67,13 @@ def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _elementwise(name: str, build, sql: str, digits: int | None = 9) -> None:
+def _elementwise(name: str, build, sql: str, digits: int | None = 9, null: float | None = None) -> None:
+    """``null``: what the SQL makes of a null cell, of which NumPy knows nothing, where that isn't null."""
+
     def run(spark, sf_dir):
         df = build(doubles(spark, sf_dir)).cells()
+        if null is not None:
+            df = df.withColumn("value", F.coalesce("value", F.lit(null)))
         return df if digits is None else rounded(df, "value", digits=digits)
 
     run.__name__ = f"ufunc_{name}"
@@ -77,7 +87,7 @@ _elementwise("add", lambda a: a + 0.1, f"v + {T}")
 _elementwise("subtract", lambda a: a - 0.1, f"v - {T}")
 _elementwise("multiply", lambda a: a * 0.1, f"v * {T}")
 _elementwise("divide", lambda a: a / 0.1, f"v / {T}")
-_elementwise("divide_by_zero", lambda a: a / 0.0, "CASE WHEN v = 0 THEN 'nan'::DOUBLE WHEN v > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END", None)
+_elementwise("divide_by_zero", lambda a: a / 0.0, "CASE WHEN v = 0 THEN 'nan'::DOUBLE WHEN v > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END", None, -np.inf)
 _elementwise("floor_divide", lambda a: a // 0.1, f"floor(v / {T})", None)
 _elementwise("remainder", lambda a: a % -0.07, "CASE WHEN v % (-0.07)::DOUBLE > 0 THEN v % (-0.07)::DOUBLE - 0.07::DOUBLE ELSE v % (-0.07)::DOUBLE END")
 _elementwise("power", lambda a: a**2.0, "power(v, 2)")
@@ -178,7 +188,7 @@ FROM (SELECT unnest(range((SELECT (count(*)+99)//100 FROM embeddings))) ty) a CR
 
 @query(HALO)
 def tiles_with_halo(spark, sf_dir):
-    a = doubles(spark, sf_dir)
+    a = doubles(spark, sf_dir, read(spark, sf_dir, "embeddings").count())  # the SQL's tiles end there
     parts = SpatialTilePlan({"y": 100, "x": 32}, {"y": 5, "x": 4}).build(a.metadata)
     cells = deal(a.cells(), parts, a.axes)
     return cells.groupBy("tile").agg(F.count(F.lit(1)).alias("n_read"), F.sum(F.col("owned").cast("bigint")).alias("n_own"), F.round(F.max("value"), 6).alias("mx"))

@@ -453,3 +453,31 @@ def test_event_grid_keeps_events_of_all_days(spark, tmp_path):
     got = {(r.day, r.user_id): r.cents for r in event_grid(spark, str(tmp_path)).collect()}
     assert got.keys() == {(d, u) for d in range(-2, 32) for u in (1, 2)}
     assert {k: v for k, v in got.items() if v} == {(-2, 1): 125, (3, 1): 250, (31, 2): 125}
+
+
+def test_division_by_zero_gives_the_rows_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from gridloom.queries import QUERIES, SQL
+
+    vectors = [np.where(np.arange(64) % 3 == i, 1.0, -0.5).tolist() for i in range(3)]
+    odd = [0.0, -0.0, np.inf, -np.inf, None, *vectors[0][5:]]
+    rows = [(0, vectors[0]), (1, odd), (2, None), (5, vectors[1][:10]), (2000, vectors[1]), (3_000_000, vectors[2])]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    for name in ("ufunc_divide_by_zero", "ufunc_isinf"):
+        got = sorted(repr(tuple(r)) for r in QUERIES[name](spark, str(tmp_path)).select("y", "x", "value").collect())
+        want = sorted(repr(r) for r in con.execute(SQL[name]).fetchall())
+        assert len(want) == 64 * len(rows) and got == want
+
+
+def test_quotients_of_null_are_null(spark):
+    from gridloom.functions import elementwise
+    from pyspark.sql import functions as F
+
+    pairs = spark.createDataFrame([(None, 0.0), (None, -0.0), (None, 2.0), (1.0, None), (1.0, -0.0)], "a double, b double")
+    for f in (elementwise.divide, elementwise.floor_divide):
+        got = pairs.select(f(F.col("a"), F.col("b")).alias("q")).collect()
+        assert [r.q for r in got] == [None] * 4 + [-np.inf]
